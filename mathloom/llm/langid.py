@@ -119,35 +119,44 @@ def train(documents: DataFrame, usable: Column, per_lang: int = 500, max_langs:
     return fit([r.bits for r in found], [r.lang for r in found], **options) if found else None
 
 
-def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), least: float | None = None) -> DataFrame:
     """Columns ``keep``, lang_pred and score (softmax of the ridge outputs) of each row.
-    ``keep`` may include text itself."""
-    carried = [c for c in keep if c != "text"]
-    spec = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields]
+
+    With ``least``, only the rows whose language is told with that score, and only ``keep``.
+    """
+    fields = documents.select(*keep).schema.fields
+    spec = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    told = least is None
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         model = shared.value
+        present = np.zeros((len(texts), DIM), np.uint8)
+        known = np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            if text and model and LETTER.search(text):
+                known[i] = True
+                mark(text, present[i])
+        if not known.any():
+            return ["und"] * len(texts), np.zeros(len(texts))
+        raw = model.scores(present).astype(np.float64)
+        e = np.exp(3 * (raw - raw.max(axis=1, keepdims=True)))
+        best = raw.argmax(axis=1)
+        scores = np.where(known, (e / e.sum(axis=1, keepdims=True))[np.arange(len(best)), best], 0.0)
+        return [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], scores
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                present = np.zeros((batch.num_rows, DIM), np.uint8)
-                known = np.zeros(batch.num_rows, bool)
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    if text and model and LETTER.search(text):
-                        known[i] = True
-                        mark(text, present[i])
-                names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-                if known.any():
-                    raw = model.scores(present).astype(np.float64)
-                    e = np.exp(3 * (raw - raw.max(axis=1, keepdims=True)))
-                    best = raw.argmax(axis=1)
-                    scores = np.where(known, (e / e.sum(axis=1, keepdims=True))[np.arange(len(best)), best], 0.0)
-                    names = [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    columns = [*carried, "text"] if "text" not in keep else list(keep)
-    return documents.select(*columns).mapInArrow(run, ", ".join([*spec, "lang_pred string, score double"]))
+                names, scores = judged(batch.column(batch.num_columns - 1).to_pylist())
+                kept = batch.columns[: len(keep)]
+                if told:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays(kept, names=list(keep)).filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return documents.select(*keep, F.col("text").alias("text_")).mapInArrow(run, ", ".join(spec + (["lang_pred string", "score double"] if told else [])))
 
 
 def language(documents: DataFrame, mod: int = 4, rest: int = 2) -> DataFrame:
@@ -159,6 +168,5 @@ def language(documents: DataFrame, mod: int = 4, rest: int = 2) -> DataFrame:
 
 def keep_known(documents: DataFrame, least: float = 0.3, mod: int = 4, rest: int = 2) -> DataFrame:
     """Rows whose language is told with a score of ``least`` or more, all columns as they were."""
-    names = documents.columns
     model = train(documents, ~common.held_out(F.col("doc_id"), mod, rest))
-    return predict(documents, model, tuple(names)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*names)
+    return predict(documents, model, tuple(documents.columns), least)
