@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mathloom.llm import fingerprints, langid, mixing, pii, quality, secrets, sharding, sql, toxicity
+from mathloom.llm import fingerprints, jaccard, langid, mixing, pii, quality, secrets, sharding, sql, toxicity
 from mathloom.llm.common import documents
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprints": lambda s, d: fingerprints.fingerprints(documents(s, d)),
         "op5_secrets": lambda s, d: secrets.secrets(documents(s, d)),
         "op6_mixing": lambda s, d: mixing.mixture(documents(s, d)),
+        "op7_ngram_jaccard_join": lambda s, d: jaccard.near_duplicates(documents(s, d)),
         "op8_quality": lambda s, d: quality.quality(documents(s, d), labels(s, d)),
         "op10_sharding": lambda s, d: sharding.sharded(documents(s, d)),
     }
