@@ -15,14 +15,19 @@ SPACES = b" \t\n\x0b\x0c\r"
 BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that a lost
-    executor costs no earlier stage. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset
+    (tests) a local one is made."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mathloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that a lost executor costs no
+    earlier stage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -75,11 +80,6 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], tu
 ARROW = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32()}
 
 
-def collect_blobs(df: DataFrame) -> list:
-    """Rows of a frame whose row count the caller has bounded."""
-    return df.collect()
-
-
 def sigmoid(z: np.ndarray | float) -> np.ndarray | float:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 

@@ -54,6 +54,8 @@ CHUNK, PART = 1 << 20, 200_000
 OWNER_DOCS = 4000
 #: Up to so many classes with candidates, their doc_ids are broadcast to find their texts.
 BROADCAST_CLASSES = 500_000
+#: Up to so many rows of 16 bytes that go are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -137,18 +139,18 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
     def one(docs: list[tuple], place: Hot) -> Iterator[tuple]:
         # a document: (doc_id, set)
         head, values, idx = [], [], []
-        for i, (doc_id, h) in enumerate(docs):
+        for i, (doc_id, text_hash, h) in enumerate(docs):
             common = place.of(h)
             late, rest = h[common], h[~common]
             n = len(h)
             need = int(prefix(n)) if n else 0
             # hot shingles are wanted only where the others don't fill the prefix
             late = np.sort(late & LOW48)[: max(0, need - len(rest))]
-            head.append((doc_id, n, len(rest), xxhash.xxh3_128_digest(h.tobytes()), late.tobytes()))
+            head.append((doc_id, text_hash, n, len(rest), xxhash.xxh3_128_digest(h.tobytes()), late.tobytes()))
             values.append(rest)
             idx.append(np.full(len(rest), i, np.uint16))
-        chunk = xxhash.xxh3_64_intdigest(b"".join(h[3] + str(h[0]).encode() for h in head)) >> 1
-        ids = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*head, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n", "known", "sig", "late"])
+        chunk = xxhash.xxh3_64_intdigest(b"".join(h[4] + f"{h[0]},{h[1]}".encode() for h in head)) >> 1
+        ids = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*head, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "text_hash", "n", "known", "sig", "late"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, ids.schema) as w:
             w.write_batch(ids)
@@ -175,9 +177,9 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
         docs: list[tuple] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text_hash, text in zip(*batch.columns, strict=True):
                 h = shingles(text.as_py() or b"")
-                docs.append((doc_id.as_py(), h))
+                docs.append((doc_id.as_py(), text_hash.as_py(), h))
                 held += len(h) + 1
                 if held > CHUNK or len(docs) == 1 << 16:
                     yield rows(list(one(docs, place)))
@@ -185,7 +187,7 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
         if docs:
             yield rows(list(one(docs, place)))
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SENT)
+    return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SENT)
 
 
 def answers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +213,7 @@ def answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "owner": pdf["owner"].to_numpy(), "blob": out})
 
 
-PREFIXES = "doc_id bigint, n bigint, sig binary, entries binary"
+PREFIXES = "doc_id bigint, text_hash bigint, n bigint, sig binary, entries binary"
 
 
 def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +238,7 @@ def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
         need = int(prefix(n))
         use = np.concatenate([own, np.frombuffer(late, np.uint64)])[: max(0, need - alone)]
         out.append(use.tobytes() + (np.arange(len(use)) + alone).astype(np.uint32).tobytes())
-    return pd.DataFrame({"doc_id": pd.array(head["doc_id"], "Int64"), "n": head["n"], "sig": head["sig"], "entries": out})
+    return pd.DataFrame({"doc_id": pd.array(head["doc_id"], "Int64"), "text_hash": head["text_hash"], "n": head["n"], "sig": head["sig"], "entries": out})
 
 
 def entries(classes: DataFrame) -> DataFrame:
@@ -350,8 +352,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc_id, n_shingles, n_similar, component_id of every row;
-    links the pairs of classes of different sets, each by a 128-bit hash of its set."""
+    """(members, links): members has doc_id, text_hash, sig, n, n_similar, root and component_id
+    of every row; links the pairs of classes of different sets, each by the hash of its set."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = docs.count()
     hot = hot_shingles(docs, total)
@@ -370,12 +372,8 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = classes.select("node", "copies", "least_id").join(roots, "node", "left").join(degree, "node", "left")
     group = group.withColumn("root", F.coalesce("root", "node"))
     first = group.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    told = group.join(first, "root").select(F.col("node").alias("sig"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
-    members = known.drop("entries").join(told, "sig", "left")
-    alone = F.col("n") == 0
-    return members.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.lit(0)).otherwise(F.col("n_similar")).cast("bigint").alias("n_similar"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    ), found
+    told = group.join(first, "root").select(F.col("node").alias("sig"), "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
+    return known.drop("entries").join(told, "sig", "left"), found
 
 
 def class_texts(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -400,4 +398,35 @@ def class_texts(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFram
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id of every row."""
-    return joined(documents)[0]
+    members, _ = joined(documents)
+    alone = F.col("n") == 0
+    return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.lit(0)).otherwise(F.col("n_similar")).cast("bigint").alias("n_similar"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id (then text hash), all
+    columns as they were; rows without words are all kept."""
+    members, _ = joined(documents)
+    members = checkpointed(members.filter("n > 0").select("doc_id", "text_hash", "root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = members.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash")
+    rows = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    kept = kept.withColumn("stays", F.lit(True))
+    both = ["doc_id", "text_hash"]
+    told = checkpointed(rows.join(kept, [rows[c].eqNullSafe(kept[c]) for c in both], "left").select(*[rows[c].alias(f"{c}_") for c in both], "n", F.coalesce("stays", F.lit(False)).alias("stays")))
+    out = documents.withColumn("row_", F.struct(*documents.columns)).select("row_", F.col("doc_id").cast("bigint").alias("id_"), F.xxhash64("text").alias("hash_"))
+
+    def on(side: DataFrame) -> list:
+        return [out["id_"].eqNullSafe(side["doc_id_"]), out["hash_"] == side["text_hash_"]]
+
+    gone = told.filter("not stays").select("doc_id_", "text_hash_")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = out.join(gone, on(gone), "left_anti")
+    # rows that are repeated as a whole, of which one stays
+    again = told.filter("stays and n > 1").select("doc_id_", "text_hash_")
+    if not again.isEmpty():
+        again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        single = out.join(again, on(again), "left_anti")
+        first = out.join(again, on(again), "left_semi").groupBy("id_", "hash_").agg(F.first("row_").alias("row_"))
+        out = single.select("row_").unionAll(first.select("row_"))
+    return out.select("row_.*")
