@@ -47,7 +47,7 @@ from mathloom.llm.common import checkpointed
 #: The link condition is 100 * intersection >= PERCENT * union.
 PERCENT = 60
 #: Documents in the sample for the hot shingles, about, and the number of them that makes one hot.
-SAMPLE, HOT = 4000, 16
+SAMPLE, HOT = 16_000, 16
 #: Shingles of a chunk, of an owner and of a part of a cluster, about.
 CHUNK, PART = 1 << 20, 200_000
 #: Documents whose shingles one owner counts, at most about; more owners for more documents.
@@ -56,7 +56,8 @@ OWNER_DOCS = 4000
 BROADCAST_CLASSES = 500_000
 #: Up to so many rows of 16 bytes that go are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-LOW48 = np.uint64((1 << 48) - 1)
+#: Owners see this many bits of a shingle; the rest of the order is who owns it.
+LOW = np.uint64((1 << 40) - 1)
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -82,16 +83,15 @@ def prefix(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def pack(values: np.ndarray, idx: np.ndarray) -> bytes:
-    """Sorted 48-bit values and their 16-bit indexes, as planes of the differences' bytes."""
+    """Sorted 40-bit values and their 16-bit indexes, as planes of the differences' bytes."""
     diff = np.diff(values, prepend=np.zeros(1, np.uint64))
-    return diff.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + idx.astype("<u2").tobytes()
+    return diff.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes() + idx.astype("<u2").tobytes()
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 8
+def unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     diff = np.zeros((n, 8), np.uint8)
-    diff[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(6, n).T
-    return np.cumsum(diff.view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(blob, "<u2", n, 6 * n)
+    diff[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(5, n).T
+    return np.cumsum(diff.view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(blob, "<u2", n, 5 * n)
 
 
 def hot_shingles(documents: DataFrame, total: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
             n = len(h)
             need = int(prefix(n)) if n else 0
             # hot shingles are wanted only where the others don't fill the prefix
-            late = np.sort(late & LOW48)[: max(0, need - len(rest))]
+            late = np.sort(late & LOW)[: max(0, need - len(rest))]
             head.append((doc_id, text_hash, n, len(rest), xxhash.xxh3_128_digest(h.tobytes()), late.tobytes()))
             values.append(rest)
             idx.append(np.full(len(rest), i, np.uint16))
@@ -164,7 +164,7 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
         for o in range(owners):
             a, b = edge[o], edge[o + 1]
             if b > a:
-                low = h[a:b] & LOW48
+                low = h[a:b] & LOW
                 again = np.argsort(low, kind="stable")
                 yield chunk, o, int(b - a), pack(low[again], i[a:b][again])
 
@@ -192,10 +192,10 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
 
 def answers(pdf: pd.DataFrame) -> pd.DataFrame:
     """An owner's answer to each chunk: its shingles that occur in more than one document,
-    with those documents' numbers in the chunk and the number of documents (at most 65535)."""
+    with those documents' numbers in the chunk and the number of documents (255 for more)."""
     if pdf["owner"].iloc[0] < 0:
         return pdf[["chunk", "owner", "blob"]]
-    parts = [unpack(b) for b in pdf["blob"]]
+    parts = [unpack(b, len(b) // 7) for b in pdf["blob"]]
     sizes = [len(v) for v, _ in parts]
     values = np.concatenate([v for v, _ in parts])
     order = np.argsort(values, kind="stable")
@@ -209,7 +209,7 @@ def answers(pdf: pd.DataFrame) -> pd.DataFrame:
         own = df[at : at + size]
         at += size
         kept = own > 1
-        out.append(pack(v[kept], i[kept]) + np.minimum(own[kept], 65535).astype("<u2").tobytes())
+        out.append(pack(v[kept], i[kept]) + np.minimum(own[kept], 255).astype(np.uint8).tobytes())
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "owner": pdf["owner"].to_numpy(), "blob": out})
 
 
@@ -217,14 +217,14 @@ PREFIXES = "doc_id bigint, text_hash bigint, n bigint, sig binary, entries binar
 
 
 def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's documents with the entries of their prefixes that may meet others: 48-bit
+    """A chunk's documents with the entries of their prefixes that may meet others: 40-bit
     shingles and positions, packed."""
     head = pa.ipc.open_stream(pdf.loc[pdf["owner"] < 0, "blob"].iloc[0]).read_all().to_pydict()
     blobs = pdf.loc[pdf["owner"] >= 0, "blob"].to_list()
-    parts = [unpack(b[: len(b) // 10 * 8]) for b in blobs]
+    parts = [unpack(b, len(b) // 8) for b in blobs]
     v = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
     i = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint16)]).astype(np.int64)
-    df = np.concatenate([np.frombuffer(b, "<u2", len(b) // 10, len(b) // 10 * 8) for b in blobs] or [np.zeros(0, np.uint16)])
+    df = np.concatenate([np.frombuffer(b, np.uint8, len(b) // 8, len(b) // 8 * 7) for b in blobs] or [np.zeros(0, np.uint8)])
     order = np.lexsort((v, df, i))
     v, i = v[order], i[order]
     edge = np.searchsorted(i, np.arange(len(head["n"]) + 1))
@@ -237,25 +237,30 @@ def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = known - len(own)
         need = int(prefix(n))
         use = np.concatenate([own, np.frombuffer(late, np.uint64)])[: max(0, need - alone)]
-        out.append(use.tobytes() + (np.arange(len(use)) + alone).astype(np.uint32).tobytes())
+        out.append(np.ascontiguousarray(use).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + (np.arange(len(use)) + alone).astype(np.uint32).tobytes())
     return pd.DataFrame({"doc_id": pd.array(head["doc_id"], "Int64"), "text_hash": head["text_hash"], "n": head["n"], "sig": head["sig"], "entries": out})
 
 
 def entries(classes: DataFrame) -> DataFrame:
-    """(shingle, sig, n, pos) of the classes' packed prefixes."""
+    """(shingle, node, n, pos) of the classes' packed prefixes."""
+
+    def shingle_of(blob: bytes) -> np.ndarray:
+        wide = np.zeros((len(blob) // 9, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(blob, np.uint8, len(blob) // 9 * 5).reshape(-1, 5)
+        return wide.view(np.int64).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 blobs = batch.column("entries").to_pylist()
-                sizes = np.array([len(b) // 12 for b in blobs], np.int64)
-                h = np.concatenate([np.frombuffer(b, np.int64, len(b) // 12) for b in blobs] or [np.zeros(0, np.int64)])
-                p = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 12, len(b) // 12 * 8) for b in blobs] or [np.zeros(0, np.uint32)])
+                sizes = np.array([len(b) // 9 for b in blobs], np.int64)
+                h = np.concatenate([shingle_of(b) for b in blobs] or [np.zeros(0, np.int64)])
+                p = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 9, len(b) // 9 * 5) for b in blobs] or [np.zeros(0, np.uint32)])
                 which = pa.array(np.repeat(np.arange(len(blobs)), sizes))
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("node").take(which), batch.column("n").take(which), pa.array(p.astype(np.int32))], names=["shingle", "node", "n", "pos"])
 
-    return classes.select("node", F.col("n").cast("int").alias("n"), "entries").mapInArrow(run, "shingle bigint, node binary, n int, pos int")
+    return classes.select("node", F.col("n").cast("int").alias("n"), "entries").mapInArrow(run, "shingle bigint, node bigint, n int, pos int")
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -274,14 +279,14 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 RANGES = np.arange(16, dtype=np.uint64) << np.uint64(60)
-LINKS = "a binary, b binary, forest boolean, na bigint, nb bigint"
+LINKS = "a bigint, b bigint, forest boolean, na bigint, nb bigint"
 
 
 def verified(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block: rows with text are classes, rows without are candidate pairs."""
-    texts = pdf[pdf["b"].isna()]
-    pairs = pdf[~pdf["b"].isna()]
-    number = {bytes(s): i for i, s in enumerate(texts["a"])}
+    """A block: rows with b = -1 are classes with their text, the others are candidate pairs."""
+    texts = pdf[pdf["b"] < 0]
+    pairs = pdf[pdf["b"] >= 0]
+    number = {int(s): i for i, s in enumerate(texts["a"])}
     sets = [shingles(bytes(t)) for t in texts["text"]]
     weight = texts["copies"].to_numpy()
     bins = [np.append(np.searchsorted(s, RANGES), len(s)) for s in sets]
@@ -295,7 +300,7 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        a, b = bytes(a), bytes(b)
+        a, b = int(a), int(b)
         i, j = number[a], number[b]
         x, y = sets[i], sets[j]
         need = -(-PERCENT * (len(x) + len(y)) // (100 + PERCENT))
@@ -309,7 +314,7 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
             r, s = top(i), top(j)
             root[r] = s
             out.append((a, b, r != s, int(weight[i]), int(weight[j])))
-    return pd.DataFrame(out, columns=["a", "b", "forest", "na", "nb"]).astype({"forest": bool, "na": "int64", "nb": "int64"})
+    return pd.DataFrame(out, columns=["a", "b", "forest", "na", "nb"]).astype({"a": "int64", "b": "int64", "forest": bool, "na": "int64", "nb": "int64"})
 
 
 def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -324,7 +329,7 @@ def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     cells = checkpointed(cells.withColumn("block", F.xxhash64("c1", "c2")).select("a", "b", "block"))
     need = cells.select(F.col("a").alias("node"), "block").unionAll(cells.select("b", "block")).distinct()
     own = need.join(classes.select("node", "copies"), "node").join(texts, "node")
-    rows = own.select("block", F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "text", "copies").unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
+    rows = own.select("block", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), "text", "copies").unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
     return rows.groupBy("block").applyInPandas(verified, LINKS)
 
 
@@ -353,7 +358,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, text_hash, sig, n, n_similar, root and component_id
-    of every row; links the pairs of classes of different sets, each by the hash of its set."""
+    of every row; links the pairs (a, b) of numbers of classes of different sets."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = docs.count()
     hot = hot_shingles(docs, total)
@@ -363,37 +368,38 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     answered = answered.groupBy("to").applyInPandas(answers, "chunk bigint, owner int, blob binary")
     known = checkpointed(answered.groupBy("chunk").applyInPandas(prefixes, PREFIXES))
     filled = known.filter("n > 0")
-    classes = checkpointed(filled.groupBy(F.col("sig").alias("node")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("entries").alias("entries")))
+    classes = checkpointed(filled.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("entries").alias("entries")))
+    # numbers are by partition and row of the checkpoint, so they are the same whenever it is read
+    classes = classes.withColumn("node", F.monotonically_increasing_id())
     pairs = checkpointed(candidates(entries(classes)))
-    texts = class_texts(docs, known, pairs)
+    texts = class_texts(docs, classes, pairs)
     found = checkpointed(links(classes, pairs, texts))
     degree = found.select(F.col("a").alias("node"), F.col("nb").alias("n")).unionAll(found.select("b", "na")).groupBy("node").agg(F.sum("n").alias("linked"))
     roots = components(found.filter("forest"))
-    group = classes.select("node", "copies", "least_id").join(roots, "node", "left").join(degree, "node", "left")
+    group = classes.select("sig", "node", "copies", "least_id").join(roots, "node", "left").join(degree, "node", "left")
     group = group.withColumn("root", F.coalesce("root", "node"))
     first = group.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    told = group.join(first, "root").select(F.col("node").alias("sig"), "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
+    told = group.join(first, "root").select("sig", "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
     return known.drop("entries").join(told, "sig", "left"), found
 
 
-def class_texts(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+def class_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text): one text of each class that has a candidate. Texts are found by doc_id and
     hashed again, as a doc_id may stand for several rows."""
-    wanted = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).distinct()
-    chosen = known.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    chosen = checkpointed(chosen)
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    chosen = checkpointed(classes.select("node", "sig", "least_id").join(wanted, "node", "left_semi"))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CLASSES else chosen
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sigs = [xxhash.xxh3_128_digest(shingles(t.as_py() or b"").tobytes()) for t in part.column(1)]
-                same = pa.array([s == k.as_py() for s, k in zip(sigs, part.column(0), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["node", "text"]).filter(same)
+                sigs = [xxhash.xxh3_128_digest(shingles(t.as_py() or b"").tobytes()) for t in part.column(2)]
+                same = pa.array([s == k.as_py() for s, k in zip(sigs, part.column(1), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["node", "text"]).filter(same)
 
-    texts = docs.withColumn("text", F.col("text").cast("binary")).join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select("sig", "text")
-    return texts.mapInArrow(signed, "node binary, text binary").groupBy("node").agg(F.max("text").alias("text"))
+    texts = docs.withColumn("text", F.col("text").cast("binary")).join(chosen, docs["doc_id"].eqNullSafe(chosen["least_id"])).select("node", "sig", "text")
+    return texts.mapInArrow(signed, "node bigint, text binary").groupBy("node").agg(F.max("text").alias("text"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
