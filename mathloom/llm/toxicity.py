@@ -7,7 +7,8 @@ regression with L2 penalty is fitted on those. A text is scored by the sum of th
 over its distinct features.
 
 Fitting uses a bounded sample: the ``sample`` labelled documents with the smallest seeded
-hashes of doc_id, from which executors send ratios of at most ``TABLE`` features each.
+hashes of doc_id. Executors count its features; the driver holds ``TABLE`` counts, and of each
+text the features in use.
 
 Defined results: null and empty texts are scored by the intercept; rows without doc_id are
 scored and in no fold; repeated labels count once, the largest one; without any usable label
@@ -20,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,30 +56,28 @@ def features(raw: bytes) -> np.ndarray:
     return np.unique(np.concatenate(got)).astype(np.int32) if got else np.zeros(0, np.int32)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, least: int = 3, penalty: float = 3e-3, rounds: int = 150, widest: int = 4000) -> tuple[np.ndarray, float]:
-    """Weights by feature hash, and the intercept. Features in fewer than ``least`` texts
-    are left out; of the others the ``widest`` with the most significant ratios are used."""
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    p, q = np.zeros(TABLE), np.zeros(TABLE)
-    for r, label in zip(rows, y, strict=True):
-        (p if label else q)[r] += 1
+def chosen(p: np.ndarray, q: np.ndarray, n1: float, n0: float, least: int = 3, widest: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """The features in use, and the log-count ratio of each, from the numbers of toxic (p) and
+    other (q) texts with each feature. Features in fewer than ``least`` texts are left out; of
+    the others the ``widest`` with the most significant ratios are used."""
     ratio = np.log((p + 0.5) / (n1 + 1)) - np.log((q + 0.5) / (n0 + 1))
     sure = np.abs(ratio) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
     sure[p + q < least] = 0
     kept = np.sort(np.argsort(-sure, kind="stable")[:widest])
     kept = kept[sure[kept] > 0]
-    place = np.full(TABLE, -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
-    own = [place[r] for r in rows]
-    own = [r[r >= 0] for r in own]
-    which = np.repeat(np.arange(len(own)), [len(r) for r in own])
-    cols = np.concatenate(own) if own else np.zeros(0, np.int32)
-    scale = ratio[kept]
-    vals = scale[cols]
+    return kept, ratio[kept]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, kept: np.ndarray, ratio: np.ndarray, penalty: float = 3e-3, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights by feature hash, and the intercept; ``rows``: places in ``kept`` of each text."""
+    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    cols = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    vals = ratio[cols]
     w, b = np.zeros(len(kept)), float(np.log(n1 / n0))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(which, weights=w[cols] * vals, minlength=len(own)) + b
+        z = np.bincount(which, weights=w[cols] * vals, minlength=len(rows)) + b
         g = common.sigmoid(z) - y
         gw = np.bincount(cols, weights=g[which] * vals, minlength=len(w)) / len(y) + penalty * w
         gb = g.mean()
@@ -87,10 +87,35 @@ def fit(rows: list[np.ndarray], y: np.ndarray, least: int = 3, penalty: float =
         w -= 0.02 * (mw / (1 - 0.9**t)) / (np.sqrt(vw / fix) + 1e-6)
         b -= 0.02 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / fix) + 1e-6)
     out = np.zeros(TABLE, np.float32)
-    out[kept] = w * scale
+    out[kept] = w * ratio
     return out, b
 
 
+CELLS = 1 << 14
+
+
+def counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of label 1, and of label 0, with each feature; summed by blocks of CELLS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, TABLE), np.int32)
+        for batch in batches:
+            for label, text in zip(batch.column(0), batch.column(1), strict=True):
+                n[label.as_py()][features((text.as_py() or "").encode("utf-8", "replace"))] += 1
+        blocks = n.reshape(-1, CELLS)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "cells"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.head(1).assign(cells=[sum(np.frombuffer(c, np.int32).astype(np.int64) for c in pdf["cells"]).astype(np.int32).tobytes()])
+
+    out = np.zeros((2 * TABLE // CELLS, CELLS), np.int64)
+    for r in texts.select("label", "text").mapInArrow(run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect():
+        out[r.block] = np.frombuffer(r.cells, np.int32)
+    n = out.reshape(2, TABLE)
+    return n[1], n[0]
+
+
 def scorer(model: tuple[np.ndarray, float] | None):
     """A function from a UTF-8 text to its probability of being toxic."""
     if model is None:
@@ -108,19 +133,36 @@ def scorer(model: tuple[np.ndarray, float] | None):
     return score
 
 
-def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000, seed: int = 29, **options: float) -> tuple[np.ndarray, float] | None:
-    """A model of at most ``sample`` labelled documents for which ``usable`` holds."""
+def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = 12_000, seed: int = 29) -> tuple[np.ndarray, float] | None:
+    """A model of at most ``sample`` labelled documents for which ``usable`` holds.
+
+    Features are counted on the executors; of each text only the features in use reach the driver.
+    """
     rows = common.one_label(labels, "toxic").filter(usable)
     picked = common.sample_ids(rows, sample, seed).collect()
     if not picked:
         return None
-    wanted = documents.sparkSession.createDataFrame([(r.doc_id, r.label) for r in picked], "doc_id bigint, label int")
-    texts = documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    found = common.map_text(texts.select("doc_id", "label", "text"), "cells binary", lambda: lambda raw: (features(raw).tobytes(),), keep=("doc_id", "label")).collect()
-    found = sorted(found, key=lambda r: (r.doc_id, bytes(r.cells)))
-    if not found:
+    wanted = documents.sparkSession.createDataFrame([(r.doc_id, int(r.label > 0)) for r in picked], "doc_id bigint, label int")
+    texts = common.checkpointed(documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
+    n1, n0 = (sum(r["count"] for r in texts.groupBy("label").count().collect() if r.label == k) for k in (1, 0))
+    if n1 + n0 == 0:
         return None
-    return fit([np.frombuffer(r.cells, np.int32) for r in found], np.array([r.label for r in found], np.float64), **options)
+    kept, ratio = chosen(*counted(texts), n1, n0)
+    shared = documents.sparkSession.sparkContext.broadcast(kept)
+
+    def make():
+        place = np.full(TABLE, -1, np.int32)
+        place[shared.value] = np.arange(len(shared.value), dtype=np.int32)
+
+        def one(raw: bytes) -> tuple[bytes]:
+            own = place[features(raw)]
+            return (own[own >= 0].tobytes(),)
+
+        return one
+
+    found = common.map_text(texts.select("doc_id", "label", "text"), "cells binary", make, keep=("doc_id", "label")).collect()
+    found = sorted(found, key=lambda r: (r.doc_id, r.label, bytes(r.cells)))
+    return fit([np.frombuffer(r.cells, np.int32) for r in found], np.array([r.label for r in found], np.float64), kept, ratio)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, threshold: float = 0.3) -> DataFrame:
