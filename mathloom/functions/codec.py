@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,3 +64,23 @@ def deltas(values: Column) -> Column:
 def restored(diffs: Column) -> Column:
     """Running sums of an array; for arrays that one row holds."""
     return F.transform(diffs, lambda _, i: F.aggregate(F.slice(diffs, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+
+def pack_plain(values: list[int]) -> bytes:
+    return struct.pack(f"<{len(values)}I", *values)
+
+
+def unpack_plain(blob: bytes, n: int) -> list[int]:
+    return list(struct.unpack(f"<{n}I", blob))
+
+
+def pack_gzip(values: list[int]) -> bytes:
+    return zlib.compress(pack_plain(values))
+
+
+def unpack_gzip(blob: bytes, n: int) -> list[int]:
+    return unpack_plain(zlib.decompress(blob), n)
+
+
+#: Name -> (pack, unpack).
+CODECS = {"plain": (pack_plain, unpack_plain), "gzip": (pack_gzip, unpack_gzip), "for": (pack, unpack), "for-delta": (pack_delta, unpack_delta)}

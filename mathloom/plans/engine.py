@@ -68,6 +68,11 @@ class Index:
         last = cls.open(spark, path, lexer).docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
         Index.of(with_ids(new, last + 1), lexer).write(path, "append")
 
+    @classmethod
+    def compact(cls, spark: SparkSession, path: str, to: str, lexer: str = "eng") -> None:
+        """Writes the index of ``path``, with the files of all its appends merged, to ``to``."""
+        cls.open(spark, path, lexer).write(to)
+
 
 def with_ids(rows: DataFrame, first: int = 1) -> DataFrame:
     """(doc_id, url, text) with dense doc_ids in order of url, then text.

@@ -26,6 +26,13 @@ def test_frame_of_reference_delta(values):
     assert codec.unpack_delta(codec.pack_delta(values), len(values)) == values
 
 
+@given(st.lists(st.integers(0, 2**31 - 1)).map(sorted), st.sampled_from(sorted(codec.CODECS)))
+@settings(max_examples=100, deadline=None)
+def test_codecs_by_name(values, name):
+    pack, unpack = codec.CODECS[name]
+    assert unpack(pack(values), len(values)) == values
+
+
 def test_widths():
     assert [codec.width(x) for x in (0, 3, 15, 31, 63, 255, 1023, 65535, 2**31)] == [2, 2, 4, 5, 6, 8, 10, 16, 32]
     assert codec.unpack(codec.pack([0, 0x80000000]), 2) == [0, 0x80000000]

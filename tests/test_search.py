@@ -148,6 +148,10 @@ def test_files_append_and_stream(spark, tmp_path):
     assert {r.doc_id: r.url for r in e.index.docs.collect()} == {1: "ua", 2: "ub", 3: "uc"}
     assert sorted(r.doc_id for r in e.term_search(["alpha"]).collect()) == [1, 2, 3]
     assert {r.doc_id for r in e.math_search("x^2").collect()} == {1, 3}
+    Index.compact(spark, idx, str(tmp_path / "compact"))
+    small = Engine(Index.open(spark, str(tmp_path / "compact")))
+    assert (small.doc_n, small.avg_len, small.term_n) == (e.doc_n, e.avg_len, e.term_n)
+    assert small.term_search(["alpha"]).collect() == e.term_search(["alpha"]).collect()
     corpus.write_json(e.index.docs, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
@@ -162,3 +166,24 @@ def test_delimiters(spark):
 def test_top_k_ties(spark):
     rows = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 5.0), (4, 0.5)], "doc_id int, score double")
     assert [r.doc_id for r in rank.top_k(rows, 3).collect()] == [2, 1, 3]
+
+
+def test_sql_functions(spark):
+    from mathloom.functions.register import register
+
+    register(spark)
+    row = spark.sql("select tex_parse('a+b').n_lr as n, mnc_score(array(1), array(struct(1, 1, array(1)))) as m, snippet('x y', array(1)) as s, tex_parse(null) as none").first()
+    assert (row.n, row.m, row.s, row.none) == (2, 100, "x <em>y</em> ... ", None)
+
+
+def test_http(formulae):
+    import threading
+    import urllib.request
+
+    from mathloom.plans.server import server
+
+    s = server(formulae, port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    ask = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/search", json.dumps({"page": 1, "kw": [{"type": "tex", "str": "y^2-x^3"}]}).encode())
+    assert json.loads(urllib.request.urlopen(ask).read())["ret_code"] == 0
+    s.shutdown()
