@@ -13,7 +13,7 @@ in all of that, however many rows it has.
 
 ``slot`` numbers the rows of a shard without gaps: rows are hashed into cells, cell counts give
 each cell its first slot, and only rows of one cell are ordered together (by doc_id, then
-text), so a shard is never in one task.
+text), so a shard is never in one task. A slot is thus the place by cell, doc_id and text.
 
 Defined results: null text has size 1 and the crc32 of the empty text; rows without doc_id are
 placed like all others; repeated rows get different slots; an empty table gives no rows; fewer
@@ -133,7 +133,8 @@ def assigned(rows: DataFrame, shards: int) -> DataFrame:
 def numbered(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """``rows`` with ``slot``, gapless from 0 in each shard."""
     cells = max(1, total // (shards * CELL_ROWS))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "key"), F.lit(cells)))
+    told = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("key")).cast("binary"))
+    rows = rows.withColumn("cell", F.conv(F.substring(told, 1, 12), 16, 10).cast("bigint") % cells)
     counts = rows.groupBy("shard", "cell").count()
     first = counts.select("shard", "cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("first"))
     place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key"))
