@@ -31,6 +31,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts are long: batches for Python have this many rows, where Spark's default would be used.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of doc_id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -74,7 +86,7 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], tu
                 names=[*keep, *names],
             )
 
-    return df.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join([*parts, schema]))
+    return map_arrow(df.select(*keep, F.col("text").cast("binary").alias("text")), run, ", ".join([*parts, schema]))
 
 
 ARROW = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32()}

@@ -28,12 +28,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mathloom.llm import common
 from mathloom.llm.common import checkpointed
 
 PASSAGE, SAMPLE, RANK, OVER = 48, 20_000, 128, 16
@@ -108,8 +110,7 @@ class Model:
 
 def passage_ids(own: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Term rows of a document's words, and the passage of each."""
-    get = place.get
-    ids = np.array([get(w, -1) for w in own], np.int32)
+    ids = np.array(list(map(place.get, own, repeat(-1))), np.int32)
     at = np.flatnonzero(ids >= 0)
     return ids[at], (at // PASSAGE).astype(np.int32)
 
@@ -147,7 +148,7 @@ def counted(documents: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["term", "n"])
 
-    rows = documents.select("text").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = common.map_arrow(documents.select("text"), run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(n + 1, np.int64)
     for r in rows:
         out[r.term] = r.n
@@ -181,7 +182,7 @@ def summed(texts: DataFrame, place: dict[bytes, int], weight: np.ndarray, basis:
             total += np.frombuffer(cells, np.float64)
         return pdf.head(1).assign(cells=[total.tobytes()])
 
-    rows = texts.select("text").mapInArrow(run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
+    rows = common.map_arrow(texts.select("text"), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
     parts = [np.frombuffer(r.cells, np.float64) for r in sorted(rows, key=lambda r: r.block)]
     return np.concatenate(parts).reshape(shape) if parts else np.zeros(shape)
 
@@ -244,8 +245,7 @@ def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | N
 
 def candidates(own: list[bytes], model: Model) -> dict[int, list[tuple[int, int, float]]]:
     """By number of item, the windows (start, end, cosine) that may hold it."""
-    get = model.place.get
-    ids = np.array([get(w, -1) for w in own], np.int32)
+    ids = np.array(list(map(model.place.get, own, repeat(-1))), np.int32)
     at = np.flatnonzero(ids >= 0)
     out: dict[int, list[tuple[int, int, float]]] = {}
     if not len(at):
@@ -322,7 +322,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "cover", "answer_cover", "cosine", "word"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {FOUND}")
+    return common.map_arrow(documents.select("doc_id", "text"), run, f"doc_id bigint, {FOUND}")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -336,4 +336,4 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             keep = [shared.value is None or not searched(t.as_py() or "", shared.value) for t in batch.column(len(fields))]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(fields)], names=[f.name for f in fields]).filter(pa.array(keep, pa.bool_()))
 
-    return documents.select("*", F.col("text").alias("text_")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return common.map_arrow(documents.select("*", F.col("text").alias("text_")), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mathloom.llm import common
+
 SLOTS = 64
 #: Rows of a range, about; with over MOST_RANGES * RANGE_ROWS rows the ranges get longer, as
 #: their borders go to the driver. A range is streamed, never held.
@@ -195,4 +197,4 @@ def _walk(put: DataFrame, heads: DataFrame, parts: int) -> DataFrame:
     places = F.when(is_head, F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own")), F.struct(F.col("prior").alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own"))))
     spread = marked.select("doc_id", "text", "h", F.explode(places).alias("p")).select("p.b", "p.own", "doc_id", "text", "h")
     ranged = spread.repartition(parts, "b").sortWithinPartitions("b", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("h"), "text")
-    return ranged.select("b", "own", "doc_id", "text").mapInArrow(walk, SCHEMA)
+    return common.map_arrow(ranged.select("b", "own", "doc_id", "text"), walk, SCHEMA)

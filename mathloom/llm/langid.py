@@ -114,7 +114,7 @@ def train(documents: DataFrame, usable: Column, per_lang: int = 500, max_langs:
 
     wanted = documents.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
     texts = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(langs)).select("doc_id", "lang", "text")
-    found = texts.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "text").mapInArrow(packed, "lang string, bits binary").collect()
+    found = common.map_arrow(texts.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "text"), packed, "lang string, bits binary").collect()
     found = found[: per_lang * max_langs]
     return fit([r.bits for r in found], [r.lang for r in found], **options) if found else None
 
@@ -156,7 +156,7 @@ def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = (
                 else:
                     yield pa.RecordBatch.from_arrays(kept, names=list(keep)).filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return documents.select(*keep, F.col("text").alias("text_")).mapInArrow(run, ", ".join(spec + (["lang_pred string", "score double"] if told else [])))
+    return common.map_arrow(documents.select(*keep, F.col("text").alias("text_")), run, ", ".join(spec + (["lang_pred string", "score double"] if told else [])))
 
 
 def language(documents: DataFrame, mod: int = 4, rest: int = 2) -> DataFrame:

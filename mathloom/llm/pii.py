@@ -27,6 +27,8 @@ from math import isqrt, prod
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mathloom.llm import common
+
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 #: For tests and examples; give your own secret key in production.
 EXAMPLE_KEY = b"example key, replace in production"
@@ -253,4 +255,4 @@ def pseudonyms(documents: DataFrame, key: bytes = EXAMPLE_KEY, keep: tuple[str,
                     spans.append(",".join(f"{k}:{s}:{e}" for s, e, k, _ in got))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())], names=[*keep, "text", "n_found", "spans"])
 
-    return documents.select(*keep, "text").mapInArrow(run, ", ".join([*spec, "text string, n_found bigint, spans string"]))
+    return common.map_arrow(documents.select(*keep, "text"), run, ", ".join([*spec, "text string, n_found bigint, spans string"]))

@@ -110,7 +110,7 @@ def counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pdf.head(1).assign(cells=[sum(np.frombuffer(c, np.int32).astype(np.int64) for c in pdf["cells"]).astype(np.int32).tobytes()])
 
     out = np.zeros((2 * TABLE // CELLS, CELLS), np.int64)
-    for r in texts.select("label", "text").mapInArrow(run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect():
+    for r in common.map_arrow(texts.select("label", "text"), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect():
         out[r.block] = np.frombuffer(r.cells, np.int32)
     n = out.reshape(2, TABLE)
     return n[1], n[0]
