@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mathloom.llm import common
 from mathloom.llm.common import checkpointed
 
 #: The link condition is 100 * intersection >= PERCENT * union.
@@ -49,9 +50,9 @@ PERCENT = 60
 #: Documents in the sample for the hot shingles, about, and the number of them that makes one hot.
 SAMPLE, HOT = 16_000, 16
 #: Shingles of a chunk, of an owner and of a part of a cluster, about.
-CHUNK, PART = 1 << 20, 200_000
+CHUNK, PART = 1 << 19, 200_000
 #: Documents whose shingles one owner counts, at most about; more owners for more documents.
-OWNER_DOCS = 4000
+OWNER_DOCS = 2000
 #: Up to so many classes with candidates, their doc_ids are broadcast to find their texts.
 BROADCAST_CLASSES = 500_000
 #: Up to so many rows of 16 bytes that go are broadcast; more are joined by a shuffle.
@@ -107,7 +108,7 @@ def hot_shingles(documents: DataFrame, total: int) -> np.ndarray:
                 h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    rows = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+    rows = common.map_arrow(some.select(F.col("text").cast("binary").alias("text")), counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
     got = rows.select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
@@ -187,7 +188,7 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
         if docs:
             yield rows(list(one(docs, place)))
 
-    return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SENT)
+    return common.map_arrow(documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")), run, SENT)
 
 
 def answers(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -213,12 +214,12 @@ def answers(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "owner": pdf["owner"].to_numpy(), "blob": out})
 
 
-PREFIXES = "doc_id bigint, text_hash bigint, n bigint, sig binary, entries binary"
+PREFIXES = "doc_id bigint, text_hash bigint, n bigint, alone bigint, sig binary, entries binary"
 
 
 def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
     """A chunk's documents with the entries of their prefixes that may meet others: 40-bit
-    shingles and positions, packed."""
+    shingles, packed. Their positions follow each other, from ``alone`` on."""
     head = pa.ipc.open_stream(pdf.loc[pdf["owner"] < 0, "blob"].iloc[0]).read_all().to_pydict()
     blobs = pdf.loc[pdf["owner"] >= 0, "blob"].to_list()
     parts = [unpack(b, len(b) // 8) for b in blobs]
@@ -228,25 +229,27 @@ def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((v, df, i))
     v, i = v[order], i[order]
     edge = np.searchsorted(i, np.arange(len(head["n"]) + 1))
-    out = []
+    out, first = [], []
     for k, (n, known, late) in enumerate(zip(head["n"], head["known"], head["late"], strict=True)):
         if not n:
             out.append(b"")
+            first.append(0)
             continue
         own = v[edge[k] : edge[k + 1]]
         alone = known - len(own)
         need = int(prefix(n))
         use = np.concatenate([own, np.frombuffer(late, np.uint64)])[: max(0, need - alone)]
-        out.append(np.ascontiguousarray(use).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + (np.arange(len(use)) + alone).astype(np.uint32).tobytes())
-    return pd.DataFrame({"doc_id": pd.array(head["doc_id"], "Int64"), "text_hash": head["text_hash"], "n": head["n"], "sig": head["sig"], "entries": out})
+        out.append(np.ascontiguousarray(use).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        first.append(alone)
+    return pd.DataFrame({"doc_id": pd.array(head["doc_id"], "Int64"), "text_hash": head["text_hash"], "n": head["n"], "alone": first, "sig": head["sig"], "entries": out})
 
 
 def entries(classes: DataFrame) -> DataFrame:
     """(shingle, node, n, pos) of the classes' packed prefixes."""
 
     def shingle_of(blob: bytes) -> np.ndarray:
-        wide = np.zeros((len(blob) // 9, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(blob, np.uint8, len(blob) // 9 * 5).reshape(-1, 5)
+        wide = np.zeros((len(blob) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
         return wide.view(np.int64).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,23 +257,23 @@ def entries(classes: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 blobs = batch.column("entries").to_pylist()
-                sizes = np.array([len(b) // 9 for b in blobs], np.int64)
+                sizes = np.array([len(b) // 5 for b in blobs], np.int64)
                 h = np.concatenate([shingle_of(b) for b in blobs] or [np.zeros(0, np.int64)])
-                p = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 9, len(b) // 9 * 5) for b in blobs] or [np.zeros(0, np.uint32)])
+                p = np.concatenate([np.arange(a, a + n) for a, n in zip(batch.column("alone").to_pylist(), sizes, strict=True)] or [np.zeros(0, np.int64)])
                 which = pa.array(np.repeat(np.arange(len(blobs)), sizes))
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("node").take(which), batch.column("n").take(which), pa.array(p.astype(np.int32))], names=["shingle", "node", "n", "pos"])
 
-    return classes.select("node", F.col("n").cast("int").alias("n"), "entries").mapInArrow(run, "shingle bigint, node bigint, n int, pos int")
+    return common.map_arrow(classes.select("node", F.col("n").cast("int").alias("n"), "alone", "entries"), run, "shingle bigint, node bigint, n int, pos int")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Distinct pairs (a, na, b, nb) with a < b that pass the length and positional filters."""
+    """Distinct pairs (a, b) with a < b that pass the length and positional filters."""
     left = found.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     right = found.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     # needed overlap: ceil(t / (1 + t) * (na + nb))
     need = f"cast((({PERCENT} * (na + nb)) + {99 + PERCENT}) div {100 + PERCENT} as int)"
     fits = F.expr(f"a < b and na * 100L >= {PERCENT}L * nb and nb * 100L >= {PERCENT}L * na and na - pa >= {need} and nb - pb >= {need}")
-    return left.join(right, "shingle").filter(fits).select("a", "na", "b", "nb").distinct()
+    return left.join(right, "shingle").filter(fits).select("a", "b").distinct()
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -319,8 +322,8 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that hold, with the classes' numbers of documents; ``texts``: (node, text)."""
-    ends = pairs.select(F.col("a").alias("node"), F.col("na").alias("n"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b"), F.col("nb"), F.col("a")))
-    near = ends.groupBy("node").agg(F.max("n").alias("n"), F.least(F.min("other"), F.col("node")).alias("label"))
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
+    near = ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")).join(classes.select("node", "n"), "node")
     sizes = near.groupBy("label").agg(F.sum("n").alias("all"))
     part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("all") / PART))).cast("int")
     placed = checkpointed(near.join(sizes, "label").select("node", F.struct("label", part.alias("part")).alias("cell")))
@@ -368,7 +371,7 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     answered = answered.groupBy("to").applyInPandas(answers, "chunk bigint, owner int, blob binary")
     known = checkpointed(answered.groupBy("chunk").applyInPandas(prefixes, PREFIXES))
     filled = known.filter("n > 0")
-    classes = checkpointed(filled.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("entries").alias("entries")))
+    classes = checkpointed(filled.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("alone").alias("alone"), F.max("entries").alias("entries")))
     # numbers are by partition and row of the checkpoint, so they are the same whenever it is read
     classes = classes.withColumn("node", F.monotonically_increasing_id())
     pairs = checkpointed(candidates(entries(classes)))
@@ -380,7 +383,7 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = group.withColumn("root", F.coalesce("root", "node"))
     first = group.groupBy("root").agg(F.min("least_id").alias("component_id"))
     told = group.join(first, "root").select("sig", "root", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), "component_id")
-    return known.drop("entries").join(told, "sig", "left"), found
+    return known.drop("entries", "alone").join(told, "sig", "left"), found
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -399,7 +402,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["node", "text"]).filter(same)
 
     texts = docs.withColumn("text", F.col("text").cast("binary")).join(chosen, docs["doc_id"].eqNullSafe(chosen["least_id"])).select("node", "sig", "text")
-    return texts.mapInArrow(signed, "node bigint, text binary").groupBy("node").agg(F.max("text").alias("text"))
+    return common.map_arrow(texts, signed, "node bigint, text binary").groupBy("node").agg(F.max("text").alias("text"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
