@@ -34,10 +34,14 @@ def with_lengths(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     return docs.join(doc_lengths(tokens), "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)).cast("bigint"))
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """One row: doc_n, avg_doc_len (floor, 0 without documents)."""
+    return docs.agg(F.count("*").alias("doc_n"), F.coalesce(F.floor(F.sum("doc_len") / F.count("*")), F.lit(0)).cast("bigint").alias("avg_doc_len"))
+
+
 def stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """One row: doc_n, avg_doc_len (floor, 0 without documents), term_n."""
-    lengths = docs.agg(F.count("*").alias("doc_n"), F.coalesce(F.floor(F.sum("doc_len") / F.count("*")), F.lit(0)).cast("bigint").alias("avg_doc_len"))
-    return lengths.crossJoin(F.broadcast(postings.agg(F.countDistinct("term").alias("term_n"))))  # one row each
+    """One row: doc_n, avg_doc_len, term_n."""
+    return sizes(docs).crossJoin(F.broadcast(postings.agg(F.countDistinct("term").alias("term_n"))))  # one row each
 
 
 def idf(n: Column, df: Column) -> Column:

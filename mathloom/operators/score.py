@@ -41,6 +41,11 @@ def occurrences(positions: DataFrame, by: str = "doc_id") -> DataFrame:
     return positions.groupBy(by).agg(F.slice(F.array_sort(F.collect_set("pos")), 1, MAX_OCCURS).alias("occurs"))
 
 
+def kept(total: Column) -> Column:
+    """A score to nine places, so that ties don't hang on the order of summation."""
+    return F.round(total, 9)
+
+
 class MathQuery:
     """A formula prepared for search: its paths without inner nodes, by size of the group of
     equal symbols (large first), then symbol; equal paths are one element."""

@@ -333,7 +333,7 @@ sums as (select doc_id, sum(bm25) as bm25, sum(case when bm25 <> 0 then 1 else 0
 
 
 PROX = "ln(0.3 + coalesce(exp(-dist), 0))"
-TERM_TOP = f"top as (select doc_id, bm25 + {PROX} as score from sums join near using (doc_id) order by score desc, doc_id limit 155)"
+TERM_TOP = f"top as (select doc_id, round(bm25 + {PROX}, 9) as score from sums join near using (doc_id) order by score desc, doc_id limit 155)"
 GRID = """case when i = j then case when i in (2, 3) then 499 else 498 end when i = 2 then case when j = 3 then 500 else 499 end
     when j = 2 then case when i = 3 then 500 else 499 end when j = 3 then 499 else 498 end"""
 GRID_ROWS = "grid as (select cast(p_partkey as bigint) as doc_id, p_name, 2 + p_size % 7 as i, 2 + p_partkey % 7 as j from part)"
@@ -371,10 +371,10 @@ from u window w as (partition by doc_id order by pos)""",
     "and_merge": f"with {_hits(TERMS[:3])} select doc_id, count(distinct k) as n_lists from hit group by doc_id having n_lists = 3",
     "empty_list_merge": f"with {TOK}, {_kw((TERMS[0], TERMS[3]))} select distinct 'or' as op, doc_id from tok join kw using (term)",
     "bm25_topk": f"with {_hits(TERMS)}, {TERM_TOP} select doc_id, round(score, 6) + 0.0 as score from top",
-    "term_and_topk": f"with {_hits(TERMS[:3])} select doc_id, round(score, 6) + 0.0 as score from (select doc_id, bm25 + {PROX} as score from sums join near using (doc_id) where lists = 3 order by score desc, doc_id limit 155)",
+    "term_and_topk": f"with {_hits(TERMS[:3])} select doc_id, round(score, 6) + 0.0 as score from (select doc_id, round(bm25 + {PROX}, 9) as score from sums join near using (doc_id) where lists = 3 order by score desc, doc_id limit 155)",
     "min_proximity": f"with {_hits(TERMS)} select doc_id, cast(dist as bigint) as dist from near",
     "prox_score": f"with {_hits(TERMS)} select doc_id, round({PROX}, 6) + 0.0 as prox from near",
-    "mixed_score_term_only": f"with {_hits(TERMS)} select doc_id, round(score, 6) + 0.0 as score from (select doc_id, {PROX} + 0.5 * (1 + bm25) + 10000 * terms as score from sums join near using (doc_id) order by score desc, doc_id limit 155)",
+    "mixed_score_term_only": f"with {_hits(TERMS)} select doc_id, round(score, 6) + 0.0 as score from (select doc_id, round({PROX} + 0.5 * (1 + bm25) + 10000 * terms, 9) as score from sums join near using (doc_id) order by score desc, doc_id limit 155)",
     "occurrences8": f"with {_hits(TERMS)} select doc_id, array_to_string(list_slice(list_sort(list_distinct(list(pos))), 1, 8), ' ') as occurs from hit group by doc_id",
     "page_window": f"with {_hits(TERMS)}, {TERM_TOP}, r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from top) select doc_id, rank, cast(ceil(rank / 10) as bigint) as page from r",
     "title_extract": """with w as (select conv_id, turn, case when turn % 2 = 0 then role || chr(10) || chr(10) || text else replace(text, chr(10), ' ') end as t from conversations)

@@ -25,13 +25,14 @@ TABLES = ("docs", "postings", "math_prefix", "stats")
 
 @dataclass
 class Index:
-    """``docs``: doc_id, url, text, doc_len. ``parts`` beyond the first come from appends."""
+    """``docs``: doc_id, url, text, doc_len. ``sizes``: the part of ``stats`` that a query needs."""
 
     spark: SparkSession
     docs: DataFrame
     postings: DataFrame
     math_prefix: DataFrame
     stats: DataFrame
+    sizes: DataFrame
     lexer: str = "eng"
 
     @classmethod
@@ -40,9 +41,10 @@ class Index:
         spark = docs.sparkSession
         toks = text.tokens(docs, lexer=lexer)
         post = index.postings(toks)
-        whole = index.with_lengths(docs, toks)
+        # a document's length needs no shuffle of its tokens
+        whole = docs.withColumn("doc_len", F.size(text.token_array(F.col("text"), lexer)).cast("bigint"))
         prefixes = index.math_prefixes(index.math_paths(index.formulae(toks)))
-        return cls(spark, whole, post, prefixes, index.stats(whole, post), lexer)
+        return cls(spark, whole, post, prefixes, index.stats(whole, post), index.sizes(whole), lexer)
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         self.docs.write.mode(mode).parquet(f"{path}/docs")
@@ -58,7 +60,8 @@ class Index:
             if missing:
                 raise FileNotFoundError(f"no index at {path}: {', '.join(missing)} missing")
         read = lambda t: spark.read.parquet(f"{path}/{t}")
-        return cls(spark, read("docs"), read("postings"), read("math_prefix"), read("stats") if check else None, lexer)
+        stats = read("stats") if check else None
+        return cls(spark, read("docs"), read("postings"), read("math_prefix"), stats, stats, lexer)
 
     @classmethod
     def append(cls, path: str, new: DataFrame, lexer: str = "eng") -> None:
@@ -95,8 +98,12 @@ def with_ids(rows: DataFrame, first: int = 1) -> DataFrame:
 class Engine:
     def __init__(self, idx: Index) -> None:
         self.index = idx
-        row = idx.stats.first()
-        self.doc_n, self.avg_len, self.term_n = row.doc_n, row.avg_doc_len, row.term_n
+        row = idx.sizes.select("doc_n", "avg_doc_len").first()
+        self.doc_n, self.avg_len = row.doc_n, row.avg_doc_len
+
+    @property
+    def term_n(self) -> int:
+        return self.index.stats.first().term_n
 
     # -- keywords
 
@@ -131,7 +138,7 @@ class Engine:
         rows = rows.join(kept.select("doc_id"), "doc_id", "left_semi")
         sums = rows.groupBy("doc_id").agg(F.sum("bm25").alias("bm25"))
         near = score.min_distance(rows.select("doc_id", "list_id", F.explode("pos").alias("pos")))
-        return rank.top_k(sums.join(near, "doc_id").select("doc_id", (F.col("bm25") + score.proximity(F.col("dist"))).alias("score")))
+        return rank.top_k(sums.join(near, "doc_id").select("doc_id", score.kept(F.col("bm25") + score.proximity(F.col("dist"))).alias("score")))
 
     def matches(self, words: list[Keyword]) -> DataFrame:
         """(doc_id, list_id, pos, bm25, math) of all keywords' lists."""
@@ -162,7 +169,7 @@ class Engine:
         near = score.min_distance(places)
         dimension = F.col("terms") + (F.col("math") > 0).cast("int")
         total = score.document_score(score.proximity(F.col("dist")), F.col("math"), F.col("bm25"), dimension)
-        best = rank.top_k(sums.join(near, "doc_id").select("doc_id", total.alias("score")), k)
+        best = rank.top_k(sums.join(near, "doc_id").select("doc_id", score.kept(total).alias("score")), k)
         return best.join(score.occurrences(places), "doc_id", "left").orderBy(F.desc("score"), F.asc("doc_id"))
 
     # -- pages and the JSON interface
