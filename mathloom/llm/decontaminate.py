@@ -39,6 +39,8 @@ from mathloom.llm import common
 from mathloom.llm.common import checkpointed
 
 PASSAGE, SAMPLE, RANK, OVER = 48, 20_000, 128, 16
+#: The sample has this many partitions however many the table has, so that few sums are added.
+SAMPLE_PARTS = 24
 COMMON, COSINE, MASS = 0.2, 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
 #: Lengths of the windows in words; each moves by a quarter of its length.
@@ -222,7 +224,7 @@ def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | N
     bench = bench * weight.astype(np.float32)
     total = documents.count()
     share = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-    sample = checkpointed(documents.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share).select("text"))
+    sample = checkpointed(documents.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share).select("text").repartition(SAMPLE_PARTS))
     rng = np.random.default_rng(seed)
     k = min(RANK + OVER, len(kept))
     omega = rng.standard_normal((len(kept), k))
