@@ -32,6 +32,8 @@ BITS = 19
 TABLE = 1 << BITS
 ORDERS = (4, 5, 6)
 PIECE = 1 << 20
+#: The sample has this many partitions however many the table has, so that few counts are added.
+SAMPLE_PARTS = 24
 FOLD = bytes((c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 SEVERAL = re.compile(rb"  +")
 
@@ -143,7 +145,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int =
     if not picked:
         return None
     wanted = documents.sparkSession.createDataFrame([(r.doc_id, int(r.label > 0)) for r in picked], "doc_id bigint, label int")
-    texts = common.checkpointed(documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
+    texts = common.checkpointed(documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").repartition(SAMPLE_PARTS))
     n1, n0 = (sum(r["count"] for r in texts.groupBy("label").count().collect() if r.label == k) for k in (1, 0))
     if n1 + n0 == 0:
         return None
