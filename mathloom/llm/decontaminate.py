@@ -3,8 +3,8 @@
 Which documents hold a benchmark item, word for word or changed in places?
 
 1. Terms are the benchmark's words. In how many passages (``PASSAGE`` words of a document) each
-   occurs is counted over all documents; terms in more than ``COMMON`` of them are left out, the
-   others weigh their inverse frequency.
+   occurs is counted over all documents; they weigh their inverse frequency, which makes common
+   ones light but leaves none out.
 2. The term-passage matrix of the benchmark's passages and of a bounded sample of documents
    (about ``SAMPLE``) is factorised by distributed randomised SVD: executors sum A'(A W) for a
    random W, then, for its orthonormal basis Q, the small (A Q)'(A Q); the driver only sees
@@ -41,7 +41,7 @@ from mathloom.llm.common import checkpointed
 PASSAGE, SAMPLE, RANK, OVER = 48, 20_000, 128, 16
 #: The sample has this many partitions however many the table has, so that few sums are added.
 SAMPLE_PARTS = 24
-COMMON, COSINE, MASS = 0.2, 0.52, 0.35
+COSINE, MASS = 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
 #: Lengths of the windows in words; each moves by a quarter of its length.
 WINDOWS = (24, 48)
@@ -215,19 +215,16 @@ def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | N
         return None
     terms = sorted(Counter(w for i in items for w in i.words))
     df, passages = counted(documents, terms)
-    kept = [i for i in range(len(terms)) if df[i] <= COMMON * max(passages, 1)]
-    if not kept:  # a benchmark of nothing but common words
-        kept = list(range(len(terms)))
-    place = {terms[t]: i for i, t in enumerate(kept)}
-    weight = np.log((passages + 1) / (df[kept] + 1)) + 0.05
-    bench, owner, length = benchmark_matrix(items, place, len(kept))
+    place = {w: i for i, w in enumerate(terms)}
+    weight = np.log((passages + 1) / (df + 1)) + 0.05
+    bench, owner, length = benchmark_matrix(items, place, len(terms))
     bench = bench * weight.astype(np.float32)
     total = documents.count()
     share = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
     sample = checkpointed(documents.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share).select("text").repartition(SAMPLE_PARTS))
     rng = np.random.default_rng(seed)
-    k = min(RANK + OVER, len(kept))
-    omega = rng.standard_normal((len(kept), k))
+    k = min(RANK + OVER, len(terms))
+    omega = rng.standard_normal((len(terms), k))
     # the benchmark's own passages weigh as much in all as the sample's
     scale = np.sqrt(max(1.0, min(total, SAMPLE) * 10 / max(len(bench), 1)))
     own = bench * scale

@@ -177,3 +177,17 @@ def test_empty_tables(spark, sf):
     assert decontaminate.leaks(docs.limit(0), bench).collect() == []
     odd_bench = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "some words here")], bench.schema)
     assert [r.item_id for r in decontaminate.leaks(docs, odd_bench).collect()] == [3]
+
+
+def test_items_of_common_words(spark):
+    rnd = random.Random(8)
+    common, rare = ([f"{x}{i}" for i in range(20)] for x in "cr")
+    items = [" ".join(common), " ".join(rare)]
+    hosts = [" ".join(f"w{rnd.randrange(900)}" for _ in range(30)) for _ in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    # a third of all rows are copies of one item, and few rows make every word common
+    many = [(i, items[0] if i % 3 == 0 else t, "en", "s") for i, t in enumerate(hosts)]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, many), bench).collect()} == {(i, 0) for i in range(0, 60, 3)}
+    few = [(0, items[0], "en", "s"), (1, hosts[1], "en", "s")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, few), bench).collect()} == {(0, 0)}
+    assert [r.doc_id for r in decontaminate.clean(documents(spark, few), bench).collect()] == [1]
