@@ -38,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -137,8 +138,9 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
     """Chunks' shingles by owner (owner >= 0), and one row (owner -1) with the chunk's documents."""
     shared = documents.sparkSession.sparkContext.broadcast(hot)
 
-    def one(docs: list[tuple], place: Hot) -> Iterator[tuple]:
-        # a document: (doc_id, set)
+    def one(docs: list[tuple], place: Hot, at: str) -> Iterator[tuple]:
+        # a document: (doc_id, text_hash, set); at: partition and number of the chunk, so that
+        # chunks of equal rows stay apart
         head, values, idx = [], [], []
         for i, (doc_id, text_hash, h) in enumerate(docs):
             common = place.of(h)
@@ -150,7 +152,7 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
             head.append((doc_id, text_hash, n, len(rest), xxhash.xxh3_128_digest(h.tobytes()), late.tobytes()))
             values.append(rest)
             idx.append(np.full(len(rest), i, np.uint16))
-        chunk = xxhash.xxh3_64_intdigest(b"".join(h[4] + f"{h[0]},{h[1]}".encode() for h in head)) >> 1
+        chunk = xxhash.xxh3_64_intdigest(at.encode() + b"".join(h[4] + f"{h[0]},{h[1]}".encode() for h in head)) >> 1
         ids = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*head, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "text_hash", "n", "known", "sig", "late"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, ids.schema) as w:
@@ -175,18 +177,19 @@ def sent(documents: DataFrame, hot: np.ndarray, owners: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = Hot(shared.value)
+        partition = TaskContext.get().partitionId()
         docs: list[tuple] = []
-        held = 0
+        held = chunks = 0
         for batch in batches:
             for doc_id, text_hash, text in zip(*batch.columns, strict=True):
                 h = shingles(text.as_py() or b"")
                 docs.append((doc_id.as_py(), text_hash.as_py(), h))
                 held += len(h) + 1
                 if held > CHUNK or len(docs) == 1 << 16:
-                    yield rows(list(one(docs, place)))
-                    docs, held = [], 0
+                    yield rows(list(one(docs, place, f"{partition},{chunks};")))
+                    docs, held, chunks = [], 0, chunks + 1
         if docs:
-            yield rows(list(one(docs, place)))
+            yield rows(list(one(docs, place, f"{partition},{chunks};")))
 
     return common.map_arrow(documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")), run, SENT)
 

@@ -85,6 +85,19 @@ def test_one_of_each(spark, sf):
     assert max(Counter(by_text[r.text] for r in got if shingle_set(r.text)).values()) == 1
 
 
+def test_table_twice(spark, monkeypatch):
+    rows = [*family()[:60], (None, "a b c", "en", "s"), (7, "", "en", "s")]
+    df = documents(spark, rows).coalesce(1)
+    both = df.union(df)
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(both).collect()) == Counter(brute(rows + rows)[0])
+    once, twice = (Counter(r.text for r in jaccard.one_of_each(d).collect()) for d in (df, both))
+    assert twice == once + Counter([""])  # rows without words are all kept
+    # chunks of one long row each, in one partition
+    monkeypatch.setattr(jaccard, "CHUNK", 50)
+    rows = [(None, rows[0][1], "en", "s")] * 3 + rows[20:22]
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(documents(spark, rows).coalesce(1)).collect()) == Counter(brute(rows)[0])
+
+
 def test_no_documents(spark):
     assert jaccard.near_duplicates(documents(spark, [])).collect() == []
     assert jaccard.one_of_each(documents(spark, [])).collect() == []
