@@ -5,10 +5,11 @@ Which documents hold a benchmark item, word for word or changed in places?
 1. Terms are the benchmark's words. In how many passages (``PASSAGE`` words of a document) each
    occurs is counted over all documents; they weigh their inverse frequency, which makes common
    ones light but leaves none out.
-2. The term-passage matrix of the benchmark's passages and of a bounded sample of documents
-   (about ``SAMPLE``) is factorised by distributed randomised SVD: executors sum A'(A W) for a
-   random W, then, for its orthonormal basis Q, the small (A Q)'(A Q); the driver only sees
-   terms x ``RANK`` numbers. Each term gets a vector of ``RANK`` latent dimensions.
+2. The term-passage matrix A of all documents' passages and the benchmark's is factorised by
+   distributed randomised SVD: executors sum A'(A W) for a random W, and the driver, which only
+   sees terms x ``RANK`` numbers, takes the leading directions of its range by Nystroem's
+   formula. Each term gets a vector of ``RANK`` latent dimensions. The words of the benchmark
+   in each document are kept as numbers from the first pass to the second.
 3. Every document is searched whole. Windows of two lengths move over it in steps; the sum of
    a window's term vectors is compared with every benchmark passage by one matrix product. A
    cosine of ``COSINE`` makes a candidate. Windows that hold too little of any passage's weight
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from mathloom.llm import common
 from mathloom.llm.common import checkpointed
 
-PASSAGE, SAMPLE, RANK, OVER = 48, 20_000, 128, 16
-#: The sample has this many partitions however many the table has, so that few sums are added.
-SAMPLE_PARTS = 24
+PASSAGE, RANK, OVER = 48, 128, 16
+#: Occurrences of terms that are kept and summed together, at least.
+TOGETHER = 1 << 14
 COSINE, MASS = 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
 #: Lengths of the windows in words; each moves by a quarter of its length.
@@ -117,64 +118,96 @@ def passage_ids(own: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray,
     return ids[at], (at // PASSAGE).astype(np.int32)
 
 
-def sums(ids: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each of sorted ``rows``, the sum of values[ids]."""
-    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return np.add.reduceat(values[ids], starts, axis=0)
-
-
-def spread(ids: np.ndarray, rows: np.ndarray, by_row: np.ndarray, out: np.ndarray, weight: np.ndarray) -> None:
-    """out[term] += weight[term] * by_row[its passage], over all occurrences."""
-    number = np.cumsum(np.concatenate([[0], rows[1:] != rows[:-1]]))
-    order = np.argsort(ids, kind="stable")
-    s = ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    out[s[starts]] += weight[s[starts], None] * np.add.reduceat(by_row[number[order]], starts, axis=0)
-
-
-def counted(documents: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
-    """Passages with each term, and all passages, over the whole table."""
+def numbered(documents: DataFrame, terms: list[bytes]) -> DataFrame:
+    """All documents' occurrences of terms: (ids, sizes), term numbers in order of passages and
+    how many each passage has; and a row of each partition with its (found), by term the passages
+    that have it, then all its passages."""
     place = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
     n = len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(n + 1, np.int64)
+        held: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        many = passages = 0
+
+        def row(ids: bytes | None, sizes: bytes | None, found: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids, sizes, found)], names=["ids", "sizes", "found"])
+
+        def flushed() -> pa.RecordBatch:
+            ids, number = np.concatenate(held), np.concatenate(rows)
+            pairs = np.unique(number * n + ids) % n
+            found[:n] += np.bincount(pairs, minlength=n)
+            sizes = np.bincount(number - number[0])
+            return row(ids.astype(kind(n)).tobytes(), sizes[sizes > 0].astype(np.uint8).tobytes(), None)
+
         for batch in batches:
             for text in batch.column(0):
                 own = words(text.as_py() or "")
                 if own:
-                    ids, rows = passage_ids(own, place.value)
-                    found[n] += (len(own) - 1) // PASSAGE + 1
-                    pairs = np.unique(rows.astype(np.int64) * n + ids) % n
-                    found[:n] += np.bincount(pairs, minlength=n)
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["term", "n"])
-
-    rows = common.map_arrow(documents.select("text"), run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+                    ids, number = passage_ids(own, place.value)
+                    if len(ids):
+                        held.append(ids)
+                        rows.append(number.astype(np.int64) + passages)
+                        many += len(ids)
+                    passages += (len(own) - 1) // PASSAGE + 1
+                    if many >= TOGETHER:
+                        yield flushed()
+                        held, rows, many = [], [], 0
+        if held:
+            yield flushed()
+        found[n] = passages
+        yield row(None, None, found.tobytes())
+
+    return checkpointed(common.map_arrow(documents.select("text"), run, "ids binary, sizes binary, found binary"))
+
+
+def kind(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def counted(numbers: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Passages with each of ``n`` terms, and all passages, over the whole table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(n + 1, np.int64)
+        for batch in batches:
+            for found in batch.column(0):
+                out += np.frombuffer(found.as_py(), np.int64)
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(out[some])], names=["term", "n"])
+
+    rows = common.map_arrow(numbers.filter("found is not null").select("found"), run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(n + 1, np.int64)
     for r in rows:
         out[r.term] = r.n
     return out[:n], int(out[n])
 
 
-def summed(texts: DataFrame, place: dict[bytes, int], weight: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """Over all passages of ``texts``, with A their weighted term counts: (A Q)'(A Q) for
-    ``gram``, else A'(A Q). Partial sums travel as blocks of rows and are added by block."""
-    shared = texts.sparkSession.sparkContext.broadcast((place, weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32)))
-    shape = (basis.shape[1] if gram else basis.shape[0], basis.shape[1])
+def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'(A basis) over all passages, with A their weighted term counts. Partial sums travel as
+    blocks of rows and are added by block."""
+    shared = numbers.sparkSession.sparkContext.broadcast((weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32)))
+    shape = basis.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, weight, scaled = shared.value
+        weight, scaled = shared.value
         out = np.zeros(shape, np.float64)
         for batch in batches:
-            for text in batch.column(0):
-                ids, rows = passage_ids(words(text.as_py() or ""), place)
-                if len(ids):
-                    y = sums(ids, rows, scaled)
-                    if gram:
-                        out += y.T @ y
-                    else:
-                        spread(ids, rows, y, out, weight)
+            for blob, sizes in zip(*batch.columns, strict=True):
+                every = np.frombuffer(blob.as_py(), kind(shape[0])).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_py(), np.uint8), dtype=np.int64)])
+                step = 512  # passages
+                for at in range(0, len(edge) - 1, step):
+                    cut = edge[at : at + step + 1]
+                    ids = every[cut[0] : cut[-1]]
+                    by_row = np.add.reduceat(scaled[ids], cut[:-1] - cut[0], axis=0)
+                    # out[term] += weight[term] * by_row[its passage], over all occurrences
+                    order = np.argsort(ids, kind="stable")
+                    number = np.repeat(np.arange(len(cut) - 1), np.diff(cut))[order]
+                    s = ids[order]
+                    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                    out[s[starts]] += weight[s[starts], None] * np.add.reduceat(by_row[number], starts, axis=0)
         blocks = np.array_split(np.arange(shape[0]), max(1, shape[0] // 1024))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([out[b].tobytes() for b in blocks], pa.binary())], names=["block", "cells"])
 
@@ -184,7 +217,7 @@ def summed(texts: DataFrame, place: dict[bytes, int], weight: np.ndarray, basis:
             total += np.frombuffer(cells, np.float64)
         return pdf.head(1).assign(cells=[total.tobytes()])
 
-    rows = common.map_arrow(texts.select("text"), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
+    rows = common.map_arrow(numbers.filter("ids is not null").select("ids", "sizes"), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
     parts = [np.frombuffer(r.cells, np.float64) for r in sorted(rows, key=lambda r: r.block)]
     return np.concatenate(parts).reshape(shape) if parts else np.zeros(shape)
 
@@ -214,24 +247,22 @@ def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | N
     if not items:
         return None
     terms = sorted(Counter(w for i in items for w in i.words))
-    df, passages = counted(documents, terms)
+    numbers = numbered(documents, terms)
+    df, passages = counted(numbers, len(terms))
     place = {w: i for i, w in enumerate(terms)}
     weight = np.log((passages + 1) / (df + 1)) + 0.05
     bench, owner, length = benchmark_matrix(items, place, len(terms))
     bench = bench * weight.astype(np.float32)
-    total = documents.count()
-    share = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-    sample = checkpointed(documents.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share).select("text").repartition(SAMPLE_PARTS))
     rng = np.random.default_rng(seed)
     k = min(RANK + OVER, len(terms))
     omega = rng.standard_normal((len(terms), k))
-    # the benchmark's own passages weigh as much in all as the sample's
-    scale = np.sqrt(max(1.0, min(total, SAMPLE) * 10 / max(len(bench), 1)))
-    own = bench * scale
-    y = summed(sample, place, weight, omega, False) + own.T @ (own @ omega)
-    q, _ = np.linalg.qr(y)
-    small = summed(sample, place, weight, q, True) + (own @ q).T @ (own @ q)
-    vals, vecs = np.linalg.eigh(small)
+    # the benchmark's own passages weigh as much in all as the documents'
+    own = bench * np.sqrt(max(1.0, passages / len(bench)))
+    y = summed(numbers, weight, omega) + own.T @ (own @ omega)
+    # A'A is about Y (W'Y)^-1 Y', of which the leading eigenvectors are taken
+    q, r = np.linalg.qr(y)
+    core = omega.T @ y
+    vals, vecs = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-10, hermitian=True) @ r.T)
     best = vecs[:, np.argsort(-vals)[:RANK]]
     basis = (q @ best).astype(np.float32)
     found = bench @ basis

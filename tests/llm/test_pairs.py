@@ -204,3 +204,32 @@ def test_items_of_common_words(spark):
     few = [(0, items[0], "en", "s"), (1, hosts[1], "en", "s")]
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, few), bench).collect()} == {(0, 0)}
     assert [r.doc_id for r in decontaminate.clean(documents(spark, few), bench).collect()] == [1]
+
+
+def test_factors_are_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SAMPLE", 10, raising=False)  # a sample would be of so many
+    monkeypatch.setattr(decontaminate, "RANK", 8)
+    monkeypatch.setattr(decontaminate, "OVER", 4)
+    rnd = random.Random(9)
+    names = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(names[i % 50 :]) for _ in range(rnd.randrange(1, 150))) for i in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(rnd.sample(names, 20))) for i in range(5)], "item_id bigint, text string")
+    model = decontaminate.fit(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3), bench)
+    n, place = len(model.place), model.place
+    rows = []
+    for t in texts:
+        w = decontaminate.words(t)
+        for at in range(0, len(w), decontaminate.PASSAGE):
+            rows.append(np.zeros(n))
+            for x in w[at : at + decontaminate.PASSAGE]:
+                if x in place:
+                    rows[-1][place[x]] += 1
+    a = np.array(rows)
+    weight = np.log((len(a) + 1) / ((a > 0).sum(axis=0) + 1)) + 0.05
+    assert np.allclose(model.weight, weight, atol=1e-5)
+    own = decontaminate.benchmark_matrix(model.items, place, n)[0] * weight * np.sqrt(len(a) / 5)
+    a = np.vstack([a * weight, own])
+    y = a.T @ (a @ np.random.default_rng(41).standard_normal((n, 12)))
+    q, _ = np.linalg.qr(y)
+    basis = model.vectors / model.weight[:, None]
+    assert basis.shape == (n, 8) and np.abs(basis - q @ (q.T @ basis)).max() < 1e-3
