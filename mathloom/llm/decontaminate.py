@@ -14,6 +14,10 @@ Which documents hold a benchmark item, word for word or changed in places?
    a window's term vectors is compared with every benchmark passage by one matrix product. A
    cosine of ``COSINE`` makes a candidate. Windows that hold too little of any passage's weight
    to be one are passed over before that.
+   Besides, items of any length are found wherever all their words stand in sequence: at each
+   occurrence of an item's heaviest word the others are compared. (An item much shorter than a
+   window is diluted by its neighbours there; with changed words, items of under 15 words may
+   be missed.)
 4. A candidate is checked word by word: the longest common subsequence of the item's words and
    the words around the window must cover ``EXACT`` of the item, or ``CLOSE`` of it when its
    answer (the words of its last sentence, at least ``ANSWER_WORDS``) is covered likewise.
@@ -42,6 +46,8 @@ from mathloom.llm.common import checkpointed
 PASSAGE, RANK, OVER = 48, 128, 16
 #: Occurrences of terms that are kept and summed together, at least.
 TOGETHER = 1 << 14
+#: At most so many partial sums are added.
+SUMS = 96
 COSINE, MASS = 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
 #: Lengths of the windows in words; each moves by a quarter of its length.
@@ -109,6 +115,8 @@ class Model:
     owner: np.ndarray  # passage -> number of its item
     length: np.ndarray  # passage -> number of WINDOWS
     least: np.ndarray  # smallest weight of a passage, by number of WINDOWS
+    anchors: dict[int, list[tuple[int, int, np.ndarray]]]  # heaviest term -> items, its place in them, their terms
+    anchor: np.ndarray  # terms and, for other words, one more: whether it is in anchors
 
 
 def passage_ids(own: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +225,7 @@ def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndar
             total += np.frombuffer(cells, np.float64)
         return pdf.head(1).assign(cells=[total.tobytes()])
 
-    rows = common.map_arrow(numbers.filter("ids is not null").select("ids", "sizes"), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
+    rows = common.map_arrow(numbers.filter("ids is not null").select("ids", "sizes").coalesce(SUMS), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
     parts = [np.frombuffer(r.cells, np.float64) for r in sorted(rows, key=lambda r: r.block)]
     return np.concatenate(parts).reshape(shape) if parts else np.zeros(shape)
 
@@ -240,6 +248,17 @@ def benchmark_matrix(items: list[Item], place: dict[bytes, int], n: int) -> tupl
     return np.array(rows).reshape(len(rows), n), owner, length
 
 
+def anchored(items: list[Item], place: dict[bytes, int], weight: np.ndarray) -> tuple[dict[int, list[tuple[int, int, np.ndarray]]], np.ndarray]:
+    out: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for k, item in enumerate(items):
+        ids = np.array([place[w] for w in item.words], np.int32)
+        at = int(np.argmax(weight[ids]))
+        out.setdefault(int(ids[at]), []).append((k, at, ids))
+    flags = np.zeros(len(place) + 1, bool)
+    flags[list(out)] = True
+    return out, flags
+
+
 def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | None:
     """The model of a benchmark, whose items the driver holds, for ``documents``."""
     rows = benchmark.select("item_id", "text").dropna().orderBy("item_id", "text").collect()
@@ -270,12 +289,29 @@ def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | N
     kind = np.array([next((j for j, w in enumerate(WINDOWS) if n <= w), len(WINDOWS) - 1) for n in length])
     mass = bench.sum(axis=1)
     least = np.array([mass[kind == j].min() if (kind == j).any() else np.inf for j in range(len(WINDOWS))])
-    return Model(items, place, weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32), found / np.maximum(norm, 1e-9), np.array(owner), kind, least)
+    return Model(items, place, weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32), found / np.maximum(norm, 1e-9), np.array(owner), kind, least, *anchored(items, place, weight))
+
+
+def verbatim(ids: np.ndarray, model: Model) -> dict[int, int]:
+    """By number of item, the first word of its first occurrence as a whole, if any."""
+    hits = np.flatnonzero(model.anchor[ids])
+    out: dict[int, int] = {}
+    for term in np.unique(ids[hits]).tolist():
+        places = hits[ids[hits] == term]
+        for k, at, item in model.anchors[term]:
+            start = places - at
+            start = start[(start >= 0) & (start + len(item) <= len(ids))]
+            for i, t in enumerate(item):
+                if not len(start):
+                    break
+                start = start[ids[start + i] == t]
+            if len(start):
+                out[k] = int(start[0])
+    return out
 
 
-def candidates(own: list[bytes], model: Model) -> dict[int, list[tuple[int, int, float]]]:
+def candidates(own: list[bytes], ids: np.ndarray, model: Model) -> dict[int, list[tuple[int, int, float]]]:
     """By number of item, the windows (start, end, cosine) that may hold it."""
-    ids = np.array(list(map(model.place.get, own, repeat(-1))), np.int32)
     at = np.flatnonzero(ids >= 0)
     out: dict[int, list[tuple[int, int, float]]] = {}
     if not len(at):
@@ -307,7 +343,8 @@ def candidates(own: list[bytes], model: Model) -> dict[int, list[tuple[int, int,
 def found_in(own: list[bytes], model: Model) -> dict[int, tuple[float, float, float, int]]:
     """By item_id: (cover, answer's cover, cosine, first word) of the items a document holds."""
     out: dict[int, tuple[float, float, float, int]] = {}
-    for k, windows in candidates(own, model).items():
+    ids = np.array(list(map(model.place.get, own, repeat(-1))), np.int32)
+    for k, windows in candidates(own, ids, model).items():
         item = model.items[k]
         n = len(item.words)
         done = -1
@@ -324,6 +361,9 @@ def found_in(own: list[bytes], model: Model) -> dict[int, tuple[float, float, fl
             answer = common_length(item.answer_masks, len(item.answer), region) / len(item.answer)
             if cover >= EXACT or answer >= CLOSE:
                 out[item.item_id] = max(out.get(item.item_id, (0.0, 0.0, 0.0, 0)), (cover, answer, like, start))
+    for k, start in verbatim(ids, model).items():
+        if out.get(model.items[k].item_id, (0.0,))[0] < 1:
+            out[model.items[k].item_id] = (1.0, 1.0, 1.0, start)
     return out
 
 

@@ -233,3 +233,17 @@ def test_factors_are_of_all_documents(spark, monkeypatch):
     q, _ = np.linalg.qr(y)
     basis = model.vectors / model.weight[:, None]
     assert basis.shape == (n, 8) and np.abs(basis - q @ (q.T @ basis)).max() < 1e-3
+
+
+def test_short_items_word_for_word(spark):
+    rnd = random.Random(10)
+    # words by Zipf's law, so that an item of few words drowns in its neighbours
+    word = lambda: f"w{int(400 ** rnd.random())}"
+    items = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 5, 5, 6, 6, 6, 8, 8, 8, 11, 14, 15, 30)]
+    items += [items[5] + " " + items[6]]
+    hosts = [[word() for _ in range(150)] for _ in range(60)]
+    rows = [(i, " ".join([*h[:70], (items[i % 16]).upper(), *h[70:]]), "en", "s") for i, h in enumerate(hosts)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    want = {(d, i) for d, t, *_ in rows for i, item in enumerate(items) if f" {item} " in f" {t.lower()} "}
+    assert want <= got and len(want) >= 60
