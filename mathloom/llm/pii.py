@@ -10,6 +10,10 @@ Kinds: ``email`` (letters and digits of the local part), ``iban``, ``ip`` (IPv4)
 (year-month-day, and day or month first with ``/`` or ``.``; 1900 to 2099), ``ssn``, ``phone``
 (ten digits, with or without country code) and ``card`` (13 to 19 digits, Luhn).
 
+Where the longest match of a kind fails its validation, shorter ones inside it that end at
+separators are tried (IBAN by their country's length, cards of 13 to 19 digits, the longest
+first), and the search goes on inside it. A date may be followed by ``T`` and a time.
+
 Defined results: null text stays null, empty text empty; a value that fails its validation is
 left as it is; repeated rows give equal results; each row is replaced by itself, without any
 shuffle. Spans are code points of the original text, ends exclusive.
@@ -22,6 +26,7 @@ from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 from math import isqrt, prod
 
 import pyarrow as pa
@@ -33,7 +38,7 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 #: For tests and examples; give your own secret key in production.
 EXAMPLE_KEY = b"example key, replace in production"
 FIND = re.compile(
-    r"""(?<![0-9A-Za-z])(?:
+    r"""(?<![0-9A-Za-z])(?:(?P<stamp>[0-9]{4}-[0-9]{2}-[0-9]{2})(?=T[0-9]{2}:?[0-9]{2})|(?:
     (?P<email>(?<![.+_%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})
     |(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)
     |(?P<ip>(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9]))
@@ -41,9 +46,23 @@ FIND = re.compile(
     |(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9]))
     |(?P<phone>(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{11,13})
     |(?P<card>[0-9](?:[ -]?[0-9]){12,18})
-    )(?![0-9A-Za-z])""",
+    )(?![0-9A-Za-z]))""",
     re.X | re.A,
 )
+#: What may be a card or hold one, and its groups of digits; a card that is cut out of more has
+#: at least so many digits in each group but its last.
+CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}", re.A)
+DIGITS, GROUP = re.compile(r"[0-9]+", re.A), 3
+RUN = re.compile(r"[0-9](?:[ -]?[0-9]){12,63}", re.A)
+#: Length of an IBAN by country.
+IBAN = {
+    k: n
+    for n, of in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in of.split()
+}
 #: Texts without any of these hold nothing that FIND could match.
 WORTH = re.compile(r"[0-9]{3}|@|[0-9][./][0-9]", re.A)
 EPOCH, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
@@ -213,19 +232,49 @@ class Pseudonyms:
         return refill(value, body + check_digit(body))
 
 
+def shorter(text: str, m: re.Match, stop: int) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what may be valid inside or around a match that isn't."""
+    start, end = m.span()
+    if m.lastgroup == "iban":
+        length = IBAN.get(text[start : start + 2])
+        for cut in range(end - 1, start, -1):
+            if text[cut] == " " and (length is None or cut - start - text.count(" ", start, cut) == length):
+                yield "iban", start, cut
+    if m.lastgroup in ("phone", "card") and (run := RUN.match(text, start, stop)):
+        groups = [g.span() for g in DIGITS.finditer(text, *run.span())]
+        cards = []
+        for i, (s, _) in enumerate(groups):
+            n = 0
+            for a, e in groups[i:]:
+                n += e - a
+                if 13 <= n <= 19 and not text[e : e + 1].isalnum():
+                    cards.append((-n, s, e))
+                if n > 19 or e - a < GROUP:
+                    break
+        for _, s, e in sorted(cards):
+            yield "card", s, e
+
+
 def found(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid values of a text."""
-    out = []
-    if WORTH.search(text):
-        for m in FIND.finditer(text):
-            for kind in (m.lastgroup, "card") if m.lastgroup in ("phone", "iban") else (m.lastgroup,):
-                if kind == "card" and not re.fullmatch(r"[0-9](?:[ -]?[0-9]){12,18}", m.group(), re.A):
-                    continue
-                new = names(kind, m.group())
-                if new is not None:
-                    out.append((m.start(), m.end(), kind, new))
-                    break
-    return out
+    return list(spans_of(text, names, 0, len(text))) if WORTH.search(text) else []
+
+
+def spans_of(text: str, names: Pseudonyms, at: int, stop: int) -> Iterator[tuple[int, int, str, str]]:
+    while m := FIND.search(text, at, stop):
+        kind = "date" if m.lastgroup == "stamp" else m.lastgroup
+        tried = [(kind, *m.span())]
+        if kind in ("phone", "iban") and CARD.fullmatch(m.group()):
+            tried.append(("card", *m.span()))
+        at = m.start() + 1
+        for kind, start, end in chain(tried, shorter(text, m, stop)):
+            new = names(kind, text[start:end])
+            if new is not None:
+                # what a value inside the match left before it
+                yield from spans_of(text, names, at, start)
+                yield start, end, kind, new
+                at = end
+                break
 
 
 def pseudonymised(text: str, names: Pseudonyms) -> tuple[str, list[tuple[int, int, str, str]]]:

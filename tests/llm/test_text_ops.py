@@ -52,6 +52,21 @@ def test_invalid_values_stay(kind, value):
     assert pii.pseudonymised(f"x {value} y", NAMES) == (f"x {value} y", [])
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("card 4111 1111 1111 1111 03/27", [("card", "4111 1111 1111 1111")]), ("card 4111 1111 1111 1111 123", [("card", "4111 1111 1111 1111")]), ("no 12 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+        ("to BE68 5390 0754 7034 EUR 5", [("iban", "BE68 5390 0754 7034")]), ("BE68 5390 0754 7034 PAYMENT", [("iban", "BE68 5390 0754 7034")]), ("REF AB13 BE68 5390 0754 7034", [("iban", "BE68 5390 0754 7034")]),
+        ("at 2024-05-06T10:00:00Z and 2024-13-06T10:00", [("date", "2024-05-06")]), ("2024-05-06Total", []), ("1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8", []),
+        ("20240 212 555 0100", [("phone", "212 555 0100")]),
+    ],
+)
+def test_values_inside_longer_matches(text, want):
+    new, spans = pii.pseudonymised(text, NAMES)
+    assert [(k, text[s:e]) for s, e, k, _ in spans] == want
+    assert all(value not in new for _, value in want)
+
+
 def test_values_stay_linked():
     a, b = (pii.pseudonymised(f"{w} call (499) 555-6503, card 4111111111111111.", NAMES)[0] for w in "ab")
     assert a[1:] == b[1:] and "499" not in a and "4111" not in a
