@@ -7,8 +7,9 @@ in that kernel, one output for each language against the rest, is fitted in the
 space of a set of landmark texts. Texts are scored in blocks, by two matrix products:
 presence x landmarks, then kernel x weights.
 
-Fitting uses a bounded sample: ``per_lang`` labelled documents of each of the ``max_langs``
-most frequent languages (the smallest seeded hashes of doc_id). Executors turn those texts
+Fitting uses a bounded sample of all labelled languages: at most ``per_lang`` documents of each,
+fewer where there are many languages, so that there are ``most`` in all, or one of each language
+if that is more (the smallest seeded hashes of doc_id). Executors turn those texts
 into bit sets of ``DIM`` bits, so what the driver gathers is bounded whatever their length.
 
 Defined results: null text, empty text and text without any letter give ``und`` with score
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mathloom.llm import common
 
@@ -72,6 +74,7 @@ def fit(bits: list[bytes], langs: list[str], landmarks: int = 192, ridge: float
     """Kernel ridge regression on packed bit sets; every ``len/landmarks``-th text of the
     language-sorted sample is a landmark, so each language has its share of them."""
     names = sorted(set(langs))
+    landmarks = max(landmarks, min(3 * len(names), 2048))
     order = sorted(range(len(langs)), key=lambda i: (langs[i], bits[i]))
     x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in order), np.uint8).reshape(len(order), -1), axis=1).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
@@ -91,17 +94,17 @@ def fit(bits: list[bytes], langs: list[str], landmarks: int = 192, ridge: float
     return Model(names, marks, (root @ beta).astype(np.float32))
 
 
-def train(documents: DataFrame, usable: Column, per_lang: int = 500, max_langs: int = 64, seed: int = 17, **options: float) -> Model | None:
-    """A model of at most ``per_lang * max_langs`` rows for which ``usable`` holds and lang is not null."""
+def train(documents: DataFrame, usable: Column, per_lang: int = 500, most: int = 32_000, seed: int = 17, **options: float) -> Model | None:
+    """A model of at most ``per_lang`` rows of every language, and ``most`` in all, for which
+    ``usable`` holds and lang is not null."""
     rows = documents.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    langs = rows.select("lang").distinct().count()
     if not langs:
         return None
-    picked = None
-    for lang in langs:
-        some = rows.filter(F.col("lang") == lang).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(per_lang)
-        picked = some if picked is None else picked.unionAll(some)
-    ids = [r[0] for r in picked.select("doc_id").distinct().collect()]
+    per_lang = max(1, min(per_lang, most // langs))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    picked = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang)
+    ids = [tuple(r) for r in picked.select("doc_id", "lang").distinct().collect()]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,10 +115,9 @@ def train(documents: DataFrame, usable: Column, per_lang: int = 500, max_langs:
                 out.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "bits"])
 
-    wanted = documents.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")
-    texts = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(langs)).select("doc_id", "lang", "text")
-    found = common.map_arrow(texts.join(F.broadcast(wanted), "doc_id", "left_semi").select("lang", "text"), packed, "lang string, bits binary").collect()
-    found = found[: per_lang * max_langs]
+    wanted = documents.sparkSession.createDataFrame(ids, "doc_id bigint, lang string")
+    texts = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    found = common.map_arrow(texts.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi").select("lang", "text"), packed, "lang string, bits binary").collect()
     return fit([r.bits for r in found], [r.lang for r in found], **options) if found else None
 
 

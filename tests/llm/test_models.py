@@ -39,6 +39,22 @@ def test_language_of_odd_rows(spark, sf):
     assert kept.count() == len(got) - 5
 
 
+def test_many_languages(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for k in range(80):
+        own = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20)]
+        rows += [(100 * k + i, " ".join(rnd.choices(own, k=40)), f"l{k:02}", "s") for i in range(8)]
+    truth = {i: lang for i, _, lang, _ in rows}
+    got = langid.language(documents(spark, rows)).collect()
+    learned = {truth[r.doc_id] for r in got if not r.held_out}
+    assert {r.lang_pred for r in got if not r.held_out} == learned and len(learned) == 80
+    out = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out) / len(out) > 0.95
+
+
 def test_language_without_documents_or_labels(spark):
     assert langid.language(documents(spark, [])).collect() == []
     only = documents(spark, [(1, "some text", None, "s")])
