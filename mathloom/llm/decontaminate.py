@@ -10,29 +10,35 @@ Which documents hold a benchmark item, word for word or changed in places?
    sees terms x ``RANK`` numbers, takes the leading directions of its range by Nystroem's
    formula. Each term gets a vector of ``RANK`` latent dimensions. The words of the benchmark
    in each document are kept as numbers from the first pass to the second.
-3. Every document is searched whole. Windows of two lengths move over it in steps; the sum of
-   a window's term vectors is compared with every benchmark passage by one matrix product. A
-   cosine of ``COSINE`` makes a candidate. Windows that hold too little of any passage's weight
-   to be one are passed over before that.
+3. Every document is searched whole, as the numbers of its terms, some documents at a time.
+   Windows of ``WINDOWS`` words, by the length of the item, move over it in steps of a quarter
+   of their length; the sum of a window's term vectors is compared with every passage of the
+   benchmark by one matrix product, and a cosine of ``COSINE`` makes a candidate. Windows that
+   hold too little of any passage's weight to be one are passed over before that.
    Besides, items of any length are found wherever all their words stand in sequence: at each
-   occurrence of an item's heaviest word the others are compared. (An item much shorter than a
-   window is diluted by its neighbours there; with changed words, items of under 15 words may
-   be missed.)
+   occurrence of an item's heaviest word the others are compared.
 4. A candidate is checked word by word: the longest common subsequence of the item's words and
    the words around the window must cover ``EXACT`` of the item, or ``CLOSE`` of it when its
    answer (the words of its last sentence, at least ``ANSWER_WORDS``) is covered likewise.
 
+``word`` is the number of the document's words before the place: where the sequence starts.
+
+The driver holds the benchmark: its words as numbers, and ``RANK`` numbers of 8 bytes for each of
+its terms and passages; executors get these once as a broadcast. A worker holds one text at a
+time and 4 bytes for each of its words.
+
 Defined results: null and empty texts, and items without words, are never found; repeated
-documents are each reported; a document is reported once for each item, with its best cover;
-an empty benchmark finds nothing. The search needs each document alone; nothing is shuffled.
+documents are each reported; a document is reported once for each item, with its best cover
+(then the first place of it); an empty benchmark finds nothing. Items with an equal item_id are
+items of their own, of which the best is reported. The search needs each document alone;
+nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -51,11 +57,16 @@ SUMS = 96
 COSINE, MASS = 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
 #: Lengths of the windows in words; each moves by a quarter of its length.
-WINDOWS = (24, 48)
-#: Texts are searched in pieces of so many characters that overlap by LAP.
-PIECE, LAP = 1 << 20, 1 << 13
+WINDOWS = (12, 24, 48)
+#: Documents are searched together up to so many words.
+GROUP = 1 << 15
+#: Candidates that are checked together.
+CHECKED = 4096
+#: Texts are cut into words in pieces of about so many characters.
+PIECE = 1 << 20
 FOLD = bytes((c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 SENTENCE = re.compile(r"[.!?]\s")
+BLANK = re.compile(r"\s", re.A)
 
 
 def words(text: str) -> list[bytes]:
@@ -63,8 +74,19 @@ def words(text: str) -> list[bytes]:
 
 
 def pieces(text: str) -> Iterator[str]:
-    for at in range(0, max(len(text) - LAP, 1), PIECE - LAP):
-        yield text[at : at + PIECE]
+    """The text in parts that end before white space, where there is any."""
+    at = 0
+    while at < len(text):
+        cut = BLANK.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def numbers_of(text: str, place: dict[bytes, int]) -> np.ndarray:
+    """The term number of each word of a whole text, -1 for words that are no terms."""
+    parts = [np.array(list(map(place.get, words(p), repeat(-1))), np.int32) for p in pieces(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.int32)])
 
 
 @dataclass
@@ -72,15 +94,6 @@ class Item:
     item_id: int
     words: list[bytes]
     answer: list[bytes]
-    masks: dict[bytes, int] = field(default_factory=dict)
-    answer_masks: dict[bytes, int] = field(default_factory=dict)
-
-
-def bit_masks(of: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
-    for i, w in enumerate(of):
-        out[w] = out.get(w, 0) | 1 << i
-    return out
 
 
 def made_item(item_id: int, text: str) -> Item:
@@ -89,10 +102,17 @@ def made_item(item_id: int, text: str) -> Item:
     answer = words(text[cut[-1] :]) if cut else own
     if len(answer) < ANSWER_WORDS:
         answer = own[-ANSWER_WORDS:]
-    return Item(item_id, own, answer, bit_masks(own), bit_masks(answer))
+    return Item(item_id, own, answer)
 
 
-def common_length(masks: dict[bytes, int], n: int, of: list[bytes]) -> int:
+def bit_masks(of: list) -> dict:
+    out: dict = {}
+    for i, w in enumerate(of):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_length(masks: dict, n: int, of: list) -> int:
     """Longest common subsequence of ``n`` words, given by bit masks, and ``of``."""
     full = (1 << n) - 1
     v = full
@@ -105,25 +125,35 @@ def common_length(masks: dict[bytes, int], n: int, of: list[bytes]) -> int:
     return n - v.bit_count()
 
 
+@dataclass
+class Target:
+    """An item as the search knows it."""
+
+    item_id: int
+    ids: np.ndarray
+    masks: dict[int, int]
+    answer: int
+    answer_masks: dict[int, int]
+    lap: int  # step of its windows
+    before: int  # words before and after a window's start that are compared with it
+    after: int
+
+
 @dataclass
 class Model:
-    items: list[Item]
     place: dict[bytes, int]  # term -> row of vectors and weight
-    weight: np.ndarray
-    vectors: np.ndarray  # terms x RANK: weighted right singular vectors
-    passages: np.ndarray  # passages x RANK, unit length
-    owner: np.ndarray  # passage -> number of its item
-    length: np.ndarray  # passage -> number of WINDOWS
-    least: np.ndarray  # smallest weight of a passage, by number of WINDOWS
-    anchors: dict[int, list[tuple[int, int, np.ndarray]]]  # heaviest term -> items, its place in them, their terms
+    weight: np.ndarray  # with a last 0
+    vectors: np.ndarray  # terms x RANK: weighted right singular vectors; a last row of zeros
+    targets: list[Target]
+    kinds: list[tuple[int, np.ndarray, np.ndarray, float]]  # width of windows: its passages, their targets, their least weight
+    anchors: dict[int, list[tuple[int, int]]]  # heaviest term -> targets, and its place in them
     anchor: np.ndarray  # terms and, for other words, one more: whether it is in anchors
 
 
-def passage_ids(own: list[bytes], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def passage_ids(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Term rows of a document's words, and the passage of each."""
-    ids = np.array(list(map(place.get, own, repeat(-1))), np.int32)
-    at = np.flatnonzero(ids >= 0)
-    return ids[at], (at // PASSAGE).astype(np.int32)
+    at = np.flatnonzero(own >= 0)
+    return own[at], (at // PASSAGE).astype(np.int32)
 
 
 def numbered(documents: DataFrame, terms: list[bytes]) -> DataFrame:
@@ -151,9 +181,9 @@ def numbered(documents: DataFrame, terms: list[bytes]) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                own = words(text.as_py() or "")
-                if own:
-                    ids, number = passage_ids(own, place.value)
+                own = numbers_of(text.as_py() or "", place.value)
+                if len(own):
+                    ids, number = passage_ids(own)
                     if len(ids):
                         held.append(ids)
                         rows.append(number.astype(np.int64) + passages)
@@ -230,33 +260,40 @@ def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndar
     return np.concatenate(parts).reshape(shape) if parts else np.zeros(shape)
 
 
-def benchmark_matrix(items: list[Item], place: dict[bytes, int], n: int) -> tuple[np.ndarray, list[int], list[int]]:
-    """Term counts of the benchmark's passages, their items, and their word counts."""
-    rows, owner, length = [], [], []
-    for k, item in enumerate(items):
-        for at in range(0, len(item.words), PASSAGE):
-            part = item.words[at : at + PASSAGE]
-            if at and len(part) < PASSAGE // 2:
-                part = item.words[-PASSAGE:]
-            row = np.zeros(n, np.float32)
-            for w in part:
-                if w in place:
-                    row[place[w]] += 1
-            rows.append(row)
-            owner.append(k)
-            length.append(len(part))
-    return np.array(rows).reshape(len(rows), n), owner, length
-
-
-def anchored(items: list[Item], place: dict[bytes, int], weight: np.ndarray) -> tuple[dict[int, list[tuple[int, int, np.ndarray]]], np.ndarray]:
-    out: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-    for k, item in enumerate(items):
-        ids = np.array([place[w] for w in item.words], np.int32)
-        at = int(np.argmax(weight[ids]))
-        out.setdefault(int(ids[at]), []).append((k, at, ids))
-    flags = np.zeros(len(place) + 1, bool)
-    flags[list(out)] = True
-    return out, flags
+class Passages:
+    """The benchmark's passages: term counts, as sorted entries (row, term, count)."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.owner: list[int] = []
+        rows, ids = [], []
+        for k, item in enumerate(items):
+            for at in range(0, len(item), PASSAGE):
+                part = item[at : at + PASSAGE]
+                if at and len(part) < PASSAGE // 2:
+                    part = item[-PASSAGE:]
+                rows.append(np.full(len(part), len(self.owner), np.int64))
+                ids.append(part.astype(np.int64))
+                self.owner.append(k)
+        both, count = np.unique(np.stack([np.concatenate(rows), np.concatenate(ids)]), axis=1, return_counts=True)
+        self.row, self.term, self.count = both[0], both[1], count.astype(np.float64)
+
+    def times(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted counts x ``cells``, by passage."""
+        out = np.zeros((len(self.owner), cells.shape[1]))
+        value = self.count * weight[self.term]
+        for at in range(0, len(self.row), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            np.add.at(out, self.row[cut], value[cut, None] * cells[self.term[cut]])
+        return out
+
+    def back(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Transposed weighted counts x ``cells``, by term."""
+        out = np.zeros((len(weight), cells.shape[1]))
+        value = self.count * weight[self.term]
+        for at in range(0, len(self.row), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            np.add.at(out, self.term[cut], value[cut, None] * cells[self.row[cut]])
+        return out
 
 
 def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | None:
@@ -265,40 +302,59 @@ def fit(documents: DataFrame, benchmark: DataFrame, seed: int = 41) -> Model | N
     items = [i for i in (made_item(r.item_id, r.text) for r in rows) if i.words]
     if not items:
         return None
-    terms = sorted(Counter(w for i in items for w in i.words))
+    terms = sorted({w for i in items for w in i.words})
     numbers = numbered(documents, terms)
     df, passages = counted(numbers, len(terms))
     place = {w: i for i, w in enumerate(terms)}
     weight = np.log((passages + 1) / (df + 1)) + 0.05
-    bench, owner, length = benchmark_matrix(items, place, len(terms))
-    bench = bench * weight.astype(np.float32)
+    own = Passages([np.array([place[w] for w in i.words], np.int32) for i in items])
     rng = np.random.default_rng(seed)
     k = min(RANK + OVER, len(terms))
     omega = rng.standard_normal((len(terms), k))
     # the benchmark's own passages weigh as much in all as the documents'
-    own = bench * np.sqrt(max(1.0, passages / len(bench)))
-    y = summed(numbers, weight, omega) + own.T @ (own @ omega)
+    y = summed(numbers, weight, omega) + own.back(own.times(omega, weight), weight) * max(1.0, passages / len(own.owner))
     # A'A is about Y (W'Y)^-1 Y', of which the leading eigenvectors are taken
     q, r = np.linalg.qr(y)
     core = omega.T @ y
     vals, vecs = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-10, hermitian=True) @ r.T)
-    best = vecs[:, np.argsort(-vals)[:RANK]]
-    basis = (q @ best).astype(np.float32)
-    found = bench @ basis
-    norm = np.linalg.norm(found, axis=1, keepdims=True)
-    kind = np.array([next((j for j, w in enumerate(WINDOWS) if n <= w), len(WINDOWS) - 1) for n in length])
-    mass = bench.sum(axis=1)
-    least = np.array([mass[kind == j].min() if (kind == j).any() else np.inf for j in range(len(WINDOWS))])
-    return Model(items, place, weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32), found / np.maximum(norm, 1e-9), np.array(owner), kind, least, *anchored(items, place, weight))
+    basis = q @ vecs[:, np.argsort(-vals)[:RANK]]
+    return model_of(items, place, weight, basis, own)
+
+
+def model_of(items: list[Item], place: dict[bytes, int], weight: np.ndarray, basis: np.ndarray, own: Passages) -> Model:
+    found = own.times(basis, weight).astype(np.float32)
+    found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+    mass = own.times(np.ones((len(weight), 1)), weight)[:, 0]
+    owner = np.array(own.owner)
+    targets, anchors = [], {}
+    width = np.zeros(len(items), int)
+    for i, item in enumerate(items):
+        ids = np.array([place[w] for w in item.words], np.int32)
+        n = len(ids)
+        width[i] = next((w for w in WINDOWS if min(n, PASSAGE) <= w), WINDOWS[-1])
+        lap = int(width[i]) // 4
+        answer = [place[w] for w in item.answer]
+        at = int(np.argmax(weight[ids]))
+        anchors.setdefault(int(ids[at]), []).append((i, at))
+        targets.append(Target(item.item_id, ids, bit_masks(ids.tolist()), len(answer), bit_masks(answer), lap, n // 2 + lap, n + n // 2 + 2 * lap))
+    kinds = []
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width[owner] == w)
+        kinds.append((w, found[mine], owner[mine], float(mass[mine].min())))
+    flags = np.zeros(len(place) + 1, bool)
+    flags[list(anchors)] = True
+    vectors = np.vstack([weight[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+    return Model(place, np.append(weight, 0).astype(np.float32), vectors, targets, kinds, anchors, flags)
 
 
 def verbatim(ids: np.ndarray, model: Model) -> dict[int, int]:
-    """By number of item, the first word of its first occurrence as a whole, if any."""
+    """By number of target, the first word of its first occurrence as a whole, if any."""
     hits = np.flatnonzero(model.anchor[ids])
     out: dict[int, int] = {}
     for term in np.unique(ids[hits]).tolist():
         places = hits[ids[hits] == term]
-        for k, at, item in model.anchors[term]:
+        for k, at in model.anchors[term]:
+            item = model.targets[k].ids
             start = places - at
             start = start[(start >= 0) & (start + len(item) <= len(ids))]
             for i, t in enumerate(item):
@@ -310,72 +366,132 @@ def verbatim(ids: np.ndarray, model: Model) -> dict[int, int]:
     return out
 
 
-def candidates(own: list[bytes], ids: np.ndarray, model: Model) -> dict[int, list[tuple[int, int, float]]]:
-    """By number of item, the windows (start, end, cosine) that may hold it."""
-    at = np.flatnonzero(ids >= 0)
-    out: dict[int, list[tuple[int, int, float]]] = {}
-    if not len(at):
-        return out
-    ids = ids[at]
-    mass = np.concatenate([[0], np.cumsum(model.weight[ids], dtype=np.float64)])
-    total = None
-    for kind, width in enumerate(WINDOWS):
-        mine = np.flatnonzero(model.length == kind)
-        if not len(mine):
-            continue
-        start = np.arange(0, max(len(own) - width // 2, 1), width // 4)
-        a, b = np.searchsorted(at, start), np.searchsorted(at, start + width)
-        full = np.flatnonzero(mass[b] - mass[a] >= MASS * model.least[kind])
-        for part in np.array_split(full, len(full) // 4096 + 1):
-            if not len(part):
+def candidates(docs: list[np.ndarray], model: Model) -> np.ndarray:
+    """Rows (document, target, start, cosine) of the windows that may hold a target, in order."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    found = [np.zeros((0, 4))]
+    for width, passages, owner, least in model.kinds:
+        lap = width // 4
+        # each document is filled up to whole steps, and three more
+        blocks = -(-sizes // lap) + 3
+        begin = np.cumsum(blocks) - blocks
+        flat = np.full(int(blocks.sum()) * lap, -1, np.int32)
+        for d, at in zip(docs, begin.tolist(), strict=True):
+            flat[at * lap : at * lap + len(d)] = d
+        many = np.where(sizes > 0, -(-np.maximum(sizes - width // 2, 1) // lap), 0)
+        doc = np.repeat(np.arange(len(docs)), many)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+        window = begin[doc] + number
+        mass = model.weight[flat].reshape(-1, lap).sum(axis=1)
+        full = (mass[:-3] + mass[1:-2] + mass[2:-1] + mass[3:])[window] >= MASS * least
+        doc, number, window = doc[full], number[full], window[full]
+        step = GROUP // lap
+        for at in range(0, len(blocks) and int(blocks.sum()), step):
+            a, b = np.searchsorted(window, (at, at + step))
+            if a == b:
                 continue
-            if total is None:
-                total = np.concatenate([np.zeros((1, model.vectors.shape[1]), np.float32), np.cumsum(model.vectors[ids], axis=0, dtype=np.float32)])
-            x = total[b[part]] - total[a[part]]
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
-            like = x @ model.passages[mine].T
-            for i, j in zip(*np.nonzero(like >= COSINE), strict=True):
-                s = int(start[part[i]])
-                out.setdefault(int(model.owner[mine[j]]), []).append((s, s + width, float(like[i, j])))
+            block = model.vectors[flat[at * lap : (at + step + 3) * lap]].reshape(-1, lap, model.vectors.shape[1]).sum(axis=1)
+            x = (block[:-3] + block[1:-2] + block[2:-1] + block[3:])[window[a:b] - at]
+            like = x @ passages.T
+            like /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-6)[:, None]
+            w, p = np.nonzero(like >= COSINE)
+            found.append(np.stack([doc[a:b][w], owner[p], number[a:b][w] * lap, like[w, p]], axis=1))
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((-rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    # a window may be like several passages of an item
+    rows = rows[np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])[: len(rows)]]
+    # one check serves two windows that follow each other
+    lap = np.array([t.lap for t in model.targets])[rows[:, 1].astype(int)]
+    alone = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] - rows[:-1, 2] != lap[1:])])[: len(rows)]
+    place = np.arange(len(rows))
+    return rows[(place - np.maximum.accumulate(np.where(alone, place, 0))) % 2 == 0] if len(rows) else rows
+
+
+def covers(ids: np.ndarray, target: np.ndarray, first: np.ndarray, end: np.ndarray, model: Model) -> np.ndarray:
+    """Longest common subsequences of targets of at most 64 words and the words from ``first`` to
+    ``end`` of ``ids``: the bit vectors of many pairs at once."""
+    out = np.zeros(len(target), np.int64)
+    padded = np.append(ids, -1)
+    for at in range(0, len(target), CHECKED):
+        part = slice(at, at + CHECKED)
+        some, row = np.unique(target[part], return_inverse=True)
+        masks = np.zeros((len(some), len(model.place) + 1), np.uint64)
+        for k, t in enumerate(some.tolist()):
+            for term, bits in model.targets[t].masks.items():
+                masks[k, term] = bits
+        n = np.array([len(model.targets[t].ids) for t in some.tolist()])[row]
+        full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - n).astype(np.uint64)
+        v = full.copy()
+        place, stop = first[part].copy(), end[part]
+        for _ in range(int((stop - place).max())):
+            m = masks[row, padded[np.where(place < stop, place, len(ids))]]
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+            place += 1
+        out[part] = n - np.bitwise_count(v)
     return out
 
 
-def found_in(own: list[bytes], model: Model) -> dict[int, tuple[float, float, float, int]]:
-    """By item_id: (cover, answer's cover, cosine, first word) of the items a document holds."""
-    out: dict[int, tuple[float, float, float, int]] = {}
-    ids = np.array(list(map(model.place.get, own, repeat(-1))), np.int32)
-    for k, windows in candidates(own, ids, model).items():
-        item = model.items[k]
-        n = len(item.words)
-        done = -1
-        for start, end, like in windows:
-            # one check serves the windows whose surroundings it covers
-            if start <= done:
-                continue
-            lap = (end - start) // 4
-            done = start + lap
-            region = own[max(0, start - n // 2 - lap) : start + n + n // 2 + 2 * lap]
-            cover = common_length(item.masks, n, region) / n
-            if cover < CLOSE:
-                continue
-            answer = common_length(item.answer_masks, len(item.answer), region) / len(item.answer)
-            if cover >= EXACT or answer >= CLOSE:
-                out[item.item_id] = max(out.get(item.item_id, (0.0, 0.0, 0.0, 0)), (cover, answer, like, start))
-    for k, start in verbatim(ids, model).items():
-        if out.get(model.items[k].item_id, (0.0,))[0] < 1:
-            out[model.items[k].item_id] = (1.0, 1.0, 1.0, start)
+Held = tuple[float, float, float, int]
+
+
+def better(a: Held, b: Held | None) -> Held:
+    """The one with more cover, then the first one."""
+    return a if b is None or (*a[:3], -a[3]) > (*b[:3], -b[3]) else b
+
+
+def found_in(docs: list[np.ndarray], model: Model) -> list[dict[int, Held]]:
+    """For each document, by item_id: (cover, answer's cover, cosine, first word) of the items it holds."""
+    out: list[dict[int, Held]] = [{} for _ in docs]
+    whole = [verbatim(d, model) for d in docs]
+    for held, items in zip(out, whole, strict=True):
+        for k, start in items.items():
+            item = model.targets[k].item_id
+            held[item] = better((1.0, 1.0, 1.0, start), held.get(item))
+    rows = candidates(docs, model)
+    doc, target, start = rows[:, :3].astype(np.int64).T
+    sizes = np.array([len(d) for d in docs], np.int64)
+    offset = np.cumsum(sizes) - sizes
+    shape = np.array([(t.before, t.after, len(t.ids)) for t in model.targets])[target]
+    first, end = np.maximum(start - shape[:, 0], 0), np.minimum(start + shape[:, 1], sizes[doc])
+    order = np.argsort(target, kind="stable")
+    short = order[shape[order, 2] <= 64]
+    cover = np.full(len(rows), -1)
+    cover[short] = covers(np.concatenate([*docs, np.zeros(0, np.int32)]), target[short], (offset[doc] + first)[short], (offset[doc] + end)[short], model)
+    for i in np.flatnonzero((cover < 0) | (cover >= CLOSE * shape[:, 2])).tolist():
+        d, t = int(doc[i]), model.targets[k := int(target[i])]
+        if k in whole[d]:
+            continue
+        n = len(t.ids)
+        region = docs[d][first[i] : end[i]].tolist()
+        own = int(cover[i]) if cover[i] >= 0 else common_length(t.masks, n, region)
+        if own < CLOSE * n:
+            continue
+        answer = common_length(t.answer_masks, t.answer, region) / t.answer
+        if own >= EXACT * n or answer >= CLOSE:
+            # the sequence starts at the last word without which it is shorter
+            low, high = 0, len(region) - 1
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if common_length(t.masks, n, region[mid:]) == own else (low, mid - 1)
+            out[d][t.item_id] = better((own / n, answer, float(rows[i, 3]), int(first[i]) + low), out[d].get(t.item_id))
     return out
 
 
 FOUND = "item_id bigint, cover double, answer_cover double, cosine double, word bigint"
 
 
-def searched(text: str, model: Model) -> dict[int, tuple[float, float, float, int]]:
-    out: dict[int, tuple[float, float, float, int]] = {}
-    for piece in pieces(text):
-        for k, v in found_in(words(piece), model).items():
-            out[k] = max(out.get(k, v), v)
-    return out
+def searched(texts: Iterator[str | None], model: Model) -> Iterator[dict[int, Held]]:
+    """What each text holds, in order; texts are searched together up to GROUP words."""
+    held: list[np.ndarray] = []
+    words = 0
+    for text in texts:
+        held.append(numbers_of(text or "", model.place))
+        words += len(held[-1])
+        if words >= GROUP:
+            yield from found_in(held, model)
+            held, words = [], 0
+    yield from found_in(held, model)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -387,8 +503,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             if shared.value is not None:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    out += [(doc_id.as_py(), k, *v) for k, v in sorted(searched(text.as_py() or "", shared.value).items())]
+                texts = (t.as_py() for t in batch.column(1))
+                for doc_id, held in zip(batch.column(0), searched(texts, shared.value), strict=True):
+                    out += [(doc_id.as_py(), k, *v) for k, v in sorted(held.items())]
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "cover", "answer_cover", "cosine", "word"])
 
@@ -403,7 +520,8 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [shared.value is None or not searched(t.as_py() or "", shared.value) for t in batch.column(len(fields))]
+            texts = (t.as_py() for t in batch.column(len(fields)))
+            keep = [True] * batch.num_rows if shared.value is None else [not held for held in searched(texts, shared.value)]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(fields)], names=[f.name for f in fields]).filter(pa.array(keep, pa.bool_()))
 
     return common.map_arrow(documents.select("*", F.col("text").alias("text_")), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))

@@ -172,7 +172,7 @@ def test_planted_items_and_paraphrases(spark, sf):
     for d, i in got:
         if d is not None:
             item = decontaminate.made_item(i, items[i])
-            assert decontaminate.common_length(item.masks, len(item.words), texts[d]) / len(item.words) >= decontaminate.CLOSE
+            assert decontaminate.common_length(decontaminate.bit_masks(item.words), len(item.words), texts[d]) / len(item.words) >= decontaminate.CLOSE
     for d, t, *_ in base:
         for i, text in items.items():
             assert t is None or text not in t or (d, i) in got
@@ -226,12 +226,16 @@ def test_factors_are_of_all_documents(spark, monkeypatch):
                     rows[-1][place[x]] += 1
     a = np.array(rows)
     weight = np.log((len(a) + 1) / ((a > 0).sum(axis=0) + 1)) + 0.05
-    assert np.allclose(model.weight, weight, atol=1e-5)
-    own = decontaminate.benchmark_matrix(model.items, place, n)[0] * weight * np.sqrt(len(a) / 5)
+    assert np.allclose(model.weight[:-1], weight, atol=1e-5)
+    own = np.zeros((5, n))
+    for i, r in enumerate(bench.orderBy("item_id").collect()):
+        for x in decontaminate.words(r.text):
+            own[i, place[x]] += 1
+    own = own * weight * np.sqrt(len(a) / 5)
     a = np.vstack([a * weight, own])
     y = a.T @ (a @ np.random.default_rng(41).standard_normal((n, 12)))
     q, _ = np.linalg.qr(y)
-    basis = model.vectors / model.weight[:, None]
+    basis = model.vectors[:-1] / model.weight[:-1, None]
     assert basis.shape == (n, 8) and np.abs(basis - q @ (q.T @ basis)).max() < 1e-3
 
 
@@ -247,3 +251,91 @@ def test_short_items_word_for_word(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
     want = {(d, i) for d, t, *_ in rows for i, item in enumerate(items) if f" {item} " in f" {t.lower()} "}
     assert want <= got and len(want) >= 60
+
+
+def plain_search(text, items, model):
+    """The search by its definition: every window of every item, one at a time."""
+    d = decontaminate
+    own, out = d.words(text), {}
+
+    def vector(words):
+        return sum((model.vectors[model.place[w]].astype(float) for w in words if w in model.place), np.zeros(model.vectors.shape[1]))
+
+    def mass(words):
+        return sum(float(model.weight[model.place[w]]) for w in words if w in model.place)
+
+    def passages(item):
+        cut = [item.words[a : a + d.PASSAGE] for a in range(0, len(item.words), d.PASSAGE)]
+        return [item.words[-d.PASSAGE :] if i and len(c) < d.PASSAGE // 2 else c for i, c in enumerate(cut)]
+
+    def width_of(item):
+        return next((w for w in d.WINDOWS if min(len(item.words), d.PASSAGE) <= w), d.WINDOWS[-1])
+
+    for item in items:
+        n, w = len(item.words), width_of(item)
+        for at in range(len(own) - n + 1):
+            if own[at : at + n] == item.words:
+                out[item.item_id] = max(out.get(item.item_id, (0, 0)), (1.0, 1.0))
+        least = min(mass(p) for i in items if width_of(i) == w for p in passages(i))
+        done = -1
+        for s in range(0, max(len(own) - w // 2, 1), w // 4):
+            x = vector(own[s : s + w])
+            like = max(x @ vector(p) / max(np.linalg.norm(x) * np.linalg.norm(vector(p)), 1e-9) for p in passages(item)) if x.any() else 0
+            if s <= done or mass(own[s : s + w]) < d.MASS * least or like < d.COSINE:
+                continue
+            done = s + w // 4
+            region = own[max(0, s - n // 2 - w // 4) : s + n + n // 2 + 2 * (w // 4)]
+            cover = d.common_length(d.bit_masks(item.words), n, region) / n
+            answer = d.common_length(d.bit_masks(item.answer), len(item.answer), region) / len(item.answer)
+            if cover >= d.EXACT or (cover >= d.CLOSE and answer >= d.CLOSE):
+                out[item.item_id] = max(out.get(item.item_id, (0, 0)), (cover, answer))
+    return out
+
+
+def test_search_against_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHECKED", 16)
+    monkeypatch.setattr(decontaminate, "GROUP", 400)
+    rnd = random.Random(12)
+    word = lambda: f"w{int(500 ** rnd.random())}"
+    items = [[word() for _ in range(n)] for n in (4, 9, 13, 20, 33, 47, 60, 64, 65, 90, 140)]
+    texts = []
+    for k in range(70):
+        host = [word() for _ in range(rnd.choice((0, 3, 40, 200, 900)))]
+        for item in rnd.sample(items, k % 3):
+            edited = [w if rnd.random() > 0.3 else word() for w in item]
+            for _ in range(k % 5):
+                edited.insert(rnd.randrange(len(edited)), word())
+            at = rnd.randrange(len(host) + 1)
+            host[at:at] = item if k % 7 == 0 else edited
+        texts.append(" ".join(host))
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    model = decontaminate.fit(docs, bench)
+    made = [decontaminate.made_item(i, " ".join(t)) for i, t in enumerate(items)]
+    got = list(decontaminate.searched(iter(texts), model))
+    for text, held in zip(texts, got, strict=True):
+        want = plain_search(text, made, model)
+        assert {k: tuple(np.round(v[:2], 9)) for k, v in held.items()} == {k: tuple(np.round(v, 9)) for k, v in want.items()}, text
+    assert sum(map(len, got)) > 40
+    rows = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, round(r.cover, 9)) for r in rows} == {(i, k, round(v[0], 9)) for i, h in enumerate(got) for k, v in h.items()}
+
+
+def test_place_in_long_texts(spark):
+    rnd = random.Random(13)
+    long = [f"long{i}" for i in range(2500)]  # of more than 8,192 characters
+    short = [f"short{i}" for i in range(30)]
+    filler = ["filler", "words"] * 150_000
+    changed = [w if rnd.random() > 0.2 or i in (0, 29) else "changed" for i, w in enumerate(short)]
+    text = " ".join([*filler[:160_000], *long, *filler[:9_000], *changed, *filler[:300]])
+    assert len(text) > 1 << 20
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id bigint, text string")
+    got = {r.item_id: (r.word, r.cover) for r in decontaminate.leaks(documents(spark, [(5, text, "en", "s"), (6, " ".join(filler), "en", "s")]), bench).collect() if r.doc_id == 5}
+    assert got[1] == (160_000, 1.0)
+    assert got[2][0] == 160_000 + 2500 + 9000 and 0.7 <= got[2][1] < 1
+    for cut in (7, 64, 1000):  # pieces never cut a word
+        decontaminate.PIECE, was = cut, decontaminate.PIECE
+        try:
+            assert [w for p in decontaminate.pieces("ab cd\u2028ef  gh" * 9) for w in decontaminate.words(p)] == decontaminate.words("ab cd\u2028ef  gh" * 9)
+        finally:
+            decontaminate.PIECE = was
