@@ -43,6 +43,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,8 @@ from mathloom.llm.common import checkpointed
 PASSAGE, RANK, OVER = 48, 128, 16
 #: Occurrences of terms that are kept and summed together, at least.
 TOGETHER = 1 << 14
-#: At most so many partial sums are added.
-SUMS = 96
+#: So many tasks' partial sums are added first.
+SUMS = 64
 COSINE, MASS = 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
 #: Lengths of the windows in words; each moves by a quarter of its length.
@@ -223,8 +224,8 @@ def counted(numbers: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) over all passages, with A their weighted term counts. Partial sums travel as
-    blocks of rows and are added by block."""
+    """A'(A basis) over all passages, with A their weighted term counts. Each task's sum travels
+    as blocks of rows; the blocks of SUMS tasks are added, then those sums, one at a time."""
     shared = numbers.sparkSession.sparkContext.broadcast((weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32)))
     shape = basis.shape
 
@@ -246,18 +247,34 @@ def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndar
                     s = ids[order]
                     starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                     out[s[starts]] += weight[s[starts], None] * np.add.reduceat(by_row[number], starts, axis=0)
-        blocks = np.array_split(np.arange(shape[0]), max(1, shape[0] // 1024))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([out[b].tobytes() for b in blocks], pa.binary())], names=["block", "cells"])
-
-    def add(pdf):
-        total = np.frombuffer(pdf["cells"].iloc[0], np.float64).copy()
-        for cells in pdf["cells"].iloc[1:]:
-            total += np.frombuffer(cells, np.float64)
-        return pdf.head(1).assign(cells=[total.tobytes()])
-
-    rows = common.map_arrow(numbers.filter("ids is not null").select("ids", "sizes").coalesce(SUMS), run, "block int, cells binary").groupBy("block").applyInPandas(add, "block int, cells binary").collect()
-    parts = [np.frombuffer(r.cells, np.float64) for r in sorted(rows, key=lambda r: r.block)]
-    return np.concatenate(parts).reshape(shape) if parts else np.zeros(shape)
+        group = TaskContext.get().partitionId() // SUMS
+        blocks = np.array_split(np.arange(shape[0]), blocks_n)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks_n), pa.int32()), pa.array([group] * blocks_n, pa.int32()), pa.array([out[b].tobytes() for b in blocks], pa.binary())], names=["block", "group", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, group, cells in zip(*batch.columns, strict=True):
+                part = np.frombuffer(cells.as_buffer(), np.float64)
+                key = block.as_py(), group.as_py()
+                if key in total:
+                    total[key] += part
+                else:
+                    total[key] = part.copy()
+        for (block, group), cells in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([group], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["block", "group", "cells"])
+
+    blocks_n = max(1, shape[0] // 1024)
+    kinds = "block int, group int, cells binary"
+    parts = common.map_arrow(numbers.filter("ids is not null").select("ids", "sizes"), run, kinds)
+    groups = max(1, numbers.rdd.getNumPartitions() // SUMS)
+    if groups > 1:
+        parts = common.map_arrow(parts.repartition(blocks_n * groups, "block", "group"), add, kinds)
+    rows = common.map_arrow(parts.withColumn("group", F.lit(0)).repartition(blocks_n, "block"), add, kinds).collect()
+    whole: dict[int, np.ndarray] = {}
+    for r in rows:
+        whole[r.block] = whole.get(r.block, 0) + np.frombuffer(r.cells, np.float64)
+    return np.concatenate([whole[k] for k in sorted(whole)]).reshape(shape) if whole else np.zeros(shape)
 
 
 class Passages:

@@ -210,6 +210,7 @@ def test_factors_are_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SAMPLE", 10, raising=False)  # a sample would be of so many
     monkeypatch.setattr(decontaminate, "RANK", 8)
     monkeypatch.setattr(decontaminate, "OVER", 4)
+    monkeypatch.setattr(decontaminate, "SUMS", 1)  # so that sums are added in two rounds
     rnd = random.Random(9)
     names = [f"w{i}" for i in range(60)]
     texts = [" ".join(rnd.choice(names[i % 50 :]) for _ in range(rnd.randrange(1, 150))) for i in range(200)]
