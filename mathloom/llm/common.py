@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,20 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mathloom.plans.storage import shared_folder
+
 #: Whitespace of the word rules: space and \t to \r.
 SPACES = b" \t\n\x0b\x0c\r"
 BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests) a local one is made."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mathloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that a lost executor costs no
     earlier stage."""
@@ -31,15 +23,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Texts are long: batches for Python have this many rows, where Spark's default would be used.
-BATCH_ROWS = 1000
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of bounded memory."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    """``df.mapInArrow``. Spark bounds a batch by rows and by bytes (64 MB unless the session
+    says otherwise, see ``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts make
+    batches of fewer rows."""
     return df.mapInArrow(run, schema)
 
 
@@ -59,6 +46,13 @@ def one_label(labels: DataFrame, label: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def texts_of(documents: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``wanted`` (few rows, no more than a sample's bound) with ``text``: one text each, the
+    smallest where rows repeat, so that what a sample gathers never grows with repeats."""
+    found = documents.select(*on, "text").join(F.broadcast(wanted), on)
+    return found.groupBy(*wanted.columns).agg(F.min("text").alias("text"))
+
+
 def sample_ids(rows: DataFrame, limit: int, seed: int) -> DataFrame:
     """The ``limit`` rows of (doc_id, label) with the smallest seeded hashes of doc_id."""
     return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit)

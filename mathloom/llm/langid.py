@@ -1,16 +1,19 @@
 """Language identification by string kernels.
 
-A text is the set of its hashed byte n-grams (blended spectrum: n = 2, 3 and 4, presence
-only) after lower-casing, with everything but letters turned into blanks. The kernel of two
-texts is the size of the common set over the geometric mean of the sizes. Ridge regression
-in that kernel, one output for each language against the rest, is fitted in the Nystroem
-space of a set of landmark texts. Texts are scored in blocks, by two matrix products:
+A passage (``PASSAGE`` bytes of a text after lower-casing, with everything but letters turned
+into blanks) is the set of its hashed byte n-grams (blended spectrum: n = 2, 3 and 4, presence
+only). The kernel of two passages is the size of the common set over the geometric mean of the
+sizes, and a text's kernel is the mean of its passages', so that long texts don't fill the set.
+Ridge regression in that kernel, one output for each language against the rest, is fitted in the
+Nystroem space of a set of landmarks. Passages are scored in blocks, by two matrix products:
 presence x landmarks, then kernel x weights.
 
 Fitting uses a bounded sample of all labelled languages: at most ``per_lang`` documents of each,
 fewer where there are many languages, so that there are ``most`` in all, or one of each language
-if that is more (the smallest seeded hashes of doc_id). Executors turn those texts
-into bit sets of ``DIM`` bits, so what the driver gathers is bounded whatever their length.
+if that is more (the smallest seeded hashes of doc_id; of rows with one doc_id and language the
+smallest text is learned). Of each text one passage, by the hash of the text, is learned, which
+executors turn into a bit set of ``DIM`` bits, so what the driver gathers is bounded whatever
+their length.
 
 Defined results: null text, empty text and text without any letter give ``und`` with score
 0; equal texts get equal results; with no labelled document every text is ``und``; columns
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +38,47 @@ from mathloom.llm import common
 BITS = 13
 DIM = 1 << BITS
 ORDERS = (2, 3, 4)
+#: Passages that are scored together.
 BLOCK = 256
-#: Texts are hashed in pieces of this many bytes that overlap by the longest n-gram.
-PIECE = 1 << 20
+#: Bytes of a passage; the next one overlaps it by the longest n-gram.
+PASSAGE = 1 << 12
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters to lower case, other ASCII to blanks; bytes of other characters stay.
 FOLD = bytes((c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 SEVERAL = re.compile(rb"  +")
 
 
-def mark(text: str, row: np.ndarray) -> None:
-    """Sets the entries of ``row`` (DIM of uint8) that the n-grams of ``text`` hash to."""
-    raw = SEVERAL.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(FOLD) + b" ")
-    for start in range(0, len(raw), PIECE):
-        x = np.frombuffer(raw[start : start + PIECE + max(ORDERS) - 1], np.uint8).astype(np.uint32)
-        gram = x
-        for n in range(2, max(ORDERS) + 1):
-            if len(gram) < 2:
-                break
-            gram = gram[:-1] * np.uint32(0x01000193) + x[n - 1 :]
-            if n in ORDERS:
-                mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                row[mixed >> np.uint32(32 - BITS)] = 1
+def folded(text: str) -> bytes:
+    return SEVERAL.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(FOLD) + b" ")
+
+
+def passages(raw: bytes) -> Iterator[bytes]:
+    """The passages of a folded text; a last one that is short is part of the one before."""
+    many = max(1, round(len(raw) / PASSAGE))
+    for k in range(many):
+        yield raw[k * PASSAGE : (k + 1) * PASSAGE + max(ORDERS) - 1 if k < many - 1 else len(raw)]
+
+
+def mark(raw: bytes, row: np.ndarray) -> None:
+    """Sets the entries of ``row`` (DIM of uint8) that the n-grams of a passage hash to."""
+    x = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    gram = x
+    for n in range(2, max(ORDERS) + 1):
+        if len(gram) < 2:
+            break
+        gram = gram[:-1] * np.uint32(0x01000193) + x[n - 1 :]
+        if n in ORDERS:
+            mixed = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            row[mixed >> np.uint32(32 - BITS)] = 1
+
+
+def learned(text: str) -> bytes:
+    """The bit set of the passage of a text that is learned."""
+    raw = folded(text)
+    own = list(passages(raw))
+    row = np.zeros(DIM, np.uint8)
+    mark(own[crc32(raw) % len(own)], row)
+    return np.packbits(row).tobytes()
 
 
 @dataclass
@@ -76,21 +99,31 @@ def fit(bits: list[bytes], langs: list[str], landmarks: int = 192, ridge: float
     names = sorted(set(langs))
     landmarks = max(landmarks, min(3 * len(names), 2048))
     order = sorted(range(len(langs)), key=lambda i: (langs[i], bits[i]))
-    x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in order), np.uint8).reshape(len(order), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+
+    def present(some: list[int]) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+
     picked = np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))
-    marks = x[picked].T.copy()
+    marks = present([order[i] for i in picked]).T.copy()
     vals, vecs = np.linalg.eigh((marks.T @ marks).astype(np.float64))
     good = vals > 1e-6 * vals.max()
     root = vecs[:, good] / np.sqrt(vals[good])
-    z = (x @ marks).astype(np.float64) @ root
-    y = np.full((len(order), len(names)), -1.0)
-    for row, i in enumerate(order):
-        y[row, names.index(langs[i])] = 1
     # each language weighs the same, however often it occurs in the sample
-    w = 1 / np.maximum((y > 0).sum(axis=0), 1)[np.argmax(y, axis=1)]
-    zw = z * w[:, None]
-    beta = np.linalg.solve(zw.T @ z + ridge * w.sum() / max(len(names), 1) * np.eye(z.shape[1]), zw.T @ y)
+    number = {name: k for k, name in enumerate(names)}
+    many = np.bincount([number[lang] for lang in langs], minlength=len(names))
+    total = sum(1 / many[number[lang]] for lang in langs)
+    left, right = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(names)))
+    for at in range(0, len(order), 2048):
+        some = order[at : at + 2048]
+        z = (present(some) @ marks).astype(np.float64) @ root
+        own = np.array([number[langs[i]] for i in some])
+        y = np.full((len(some), len(names)), -1.0)
+        y[np.arange(len(some)), own] = 1
+        zw = z / many[own][:, None]
+        left += zw.T @ z
+        right += zw.T @ y
+    beta = np.linalg.solve(left + ridge * total / len(names) * np.eye(len(left)), right)
     return Model(names, marks, (root @ beta).astype(np.float32))
 
 
@@ -104,20 +137,16 @@ def train(documents: DataFrame, usable: Column, per_lang: int = 500, most: int =
     per_lang = max(1, min(per_lang, most // langs))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
     picked = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang)
-    ids = [tuple(r) for r in picked.select("doc_id", "lang").distinct().collect()]
+    ids = sorted(tuple(r) for r in picked.select("doc_id", "lang").distinct().collect())
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                row = np.zeros(DIM, np.uint8)
-                mark(text.as_py(), row)
-                out.append(np.packbits(row).tobytes())
+            out = [learned(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "bits"])
 
     wanted = documents.sparkSession.createDataFrame(ids, "doc_id bigint, lang string")
-    texts = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    found = common.map_arrow(texts.join(F.broadcast(wanted), ["doc_id", "lang"], "left_semi").select("lang", "text"), packed, "lang string, bits binary").collect()
+    texts = common.texts_of(documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), wanted, ["doc_id", "lang"])
+    found = common.map_arrow(texts.select("lang", "text"), packed, "lang string, bits binary").collect()
     return fit([r.bits for r in found], [r.lang for r in found], **options) if found else None
 
 
@@ -133,19 +162,29 @@ def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = (
 
     def judged(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         model = shared.value
-        present = np.zeros((len(texts), DIM), np.uint8)
-        known = np.zeros(len(texts), bool)
+        total, many = np.zeros((len(texts), len(model.langs) if model else 1)), np.zeros(len(texts))
+        present, owner = np.zeros((BLOCK, DIM), np.uint8), []
+
+        def flush() -> None:
+            np.add.at(total, owner, model.scores(present[: len(owner)]).astype(np.float64))
+            present[: len(owner)] = 0
+            owner.clear()
+
         for i, text in enumerate(texts):
             if text and model and LETTER.search(text):
-                known[i] = True
-                mark(text, present[i])
-        if not known.any():
-            return ["und"] * len(texts), np.zeros(len(texts))
-        raw = model.scores(present).astype(np.float64)
+                for part in passages(folded(text)):
+                    mark(part, present[len(owner)])
+                    owner.append(i)
+                    many[i] += 1
+                    if len(owner) == BLOCK:
+                        flush()
+        if owner:
+            flush()
+        raw = total / np.maximum(many, 1)[:, None]
         e = np.exp(3 * (raw - raw.max(axis=1, keepdims=True)))
         best = raw.argmax(axis=1)
-        scores = np.where(known, (e / e.sum(axis=1, keepdims=True))[np.arange(len(best)), best], 0.0)
-        return [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], scores
+        scores = np.where(many > 0, (e / e.sum(axis=1, keepdims=True))[np.arange(len(best)), best], 0.0)
+        return [model.langs[b] if k else "und" for b, k in zip(best, many, strict=True)], scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
