@@ -7,8 +7,10 @@ regression with L2 penalty is fitted on those. A text is scored by the sum of th
 over its distinct features.
 
 Fitting uses a bounded sample: the ``sample`` labelled documents with the smallest seeded
-hashes of doc_id. Executors count its features; the driver holds ``TABLE`` counts, and of each
-text the features in use.
+hashes of doc_id; of rows with one doc_id the smallest text is learned. Executors count its
+features. The model has ``widest`` features, those with the most significant ratios (README has
+held-out figures for other numbers); the driver holds ``TABLE`` counts, and of each text the
+features in use: at most 4 * ``sample`` * ``widest`` bytes.
 
 Defined results: null and empty texts are scored by the intercept; rows without doc_id are
 scored and in no fold; repeated labels count once, the largest one; without any usable label
@@ -135,8 +137,8 @@ def scorer(model: tuple[np.ndarray, float] | None):
     return score
 
 
-def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = 12_000, seed: int = 29) -> tuple[np.ndarray, float] | None:
-    """A model of at most ``sample`` labelled documents for which ``usable`` holds.
+def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = 12_000, widest: int = 4000, seed: int = 29) -> tuple[np.ndarray, float] | None:
+    """A model with ``widest`` features of at most ``sample`` labelled documents for which ``usable`` holds.
 
     Features are counted on the executors; of each text only the features in use reach the driver.
     """
@@ -145,11 +147,11 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int =
     if not picked:
         return None
     wanted = documents.sparkSession.createDataFrame([(r.doc_id, int(r.label > 0)) for r in picked], "doc_id bigint, label int")
-    texts = common.checkpointed(documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").repartition(SAMPLE_PARTS))
+    texts = common.checkpointed(common.texts_of(documents, wanted, ["doc_id"]).repartition(SAMPLE_PARTS, "doc_id"))
     n1, n0 = (sum(r["count"] for r in texts.groupBy("label").count().collect() if r.label == k) for k in (1, 0))
     if n1 + n0 == 0:
         return None
-    kept, ratio = chosen(*counted(texts), n1, n0)
+    kept, ratio = chosen(*counted(texts), n1, n0, widest=widest)
     shared = documents.sparkSession.sparkContext.broadcast(kept)
 
     def make():
