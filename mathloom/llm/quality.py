@@ -3,9 +3,10 @@
 A text is the mean of the learned vectors of its tokens' features: each word, and each byte
 n-gram (n = 3 and 4) inside the word with its end marks, has a hashed vector of ``WIDTH``
 numbers; the pair of a word and its repeat has one of its own. A linear layer and a softmax over the two classes follow. All are trained together
-by stochastic gradient descent in numpy, on a bounded sample: the ``sample`` labelled
-documents with the smallest seeded hashes of doc_id, of which executors send the ``TABLE``
-cells with their counts.
+by stochastic gradient descent in numpy, on a bounded sample: the labelled documents with the
+smallest seeded hashes of doc_id, at most ``sample`` of them and as many as have ``most`` cells
+together (of rows with one doc_id the smallest text is learned). Executors turn them into cells
+with their shares, so the driver holds at most 8 * ``most`` bytes of them, however long texts are.
 
 Mean and linear layer commute, so for scoring each cell is one number, and a whole text
 costs its hashing and one gather.
@@ -130,14 +131,24 @@ def scorer(model: tuple[np.ndarray, float] | None):
     return score
 
 
-def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000, seed: int = 31, **options: float) -> tuple[np.ndarray, float] | None:
-    """A model of at most ``sample`` labelled documents for which ``usable`` holds."""
+def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000, most: int = 1 << 24, seed: int = 31, **options: float) -> tuple[np.ndarray, float] | None:
+    """A model of at most ``sample`` labelled documents, with at most ``most`` cells, for which
+    ``usable`` holds."""
     picked = common.sample_ids(common.one_label(labels, "quality").filter(usable), sample, seed).collect()
     if not picked:
         return None
     wanted = documents.sparkSession.createDataFrame([(r.doc_id, r.label) for r in picked], "doc_id bigint, label int")
-    texts = documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    found = common.map_text(texts.select("doc_id", "label", "text"), "cells binary", lambda: lambda raw: (features(raw),), keep=("doc_id", "label")).collect()
+    texts = common.texts_of(documents, wanted, ["doc_id"])
+    made = common.checkpointed(common.map_text(texts.select("doc_id", "label", "text"), "cells binary", lambda: lambda raw: (features(raw),), keep=("doc_id", "label")))
+    sizes = {r.doc_id: r.n for r in made.select("doc_id", F.length("cells").alias("n")).collect()}
+    # in the order of the sample, until the cells are too many
+    held, known = 0, []
+    for r in picked:
+        held += sizes.get(r.doc_id, 0) // 8
+        if held > most and known:
+            break
+        known.append(r.doc_id)
+    found = made.join(F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in known], "doc_id bigint")), "doc_id").collect()
     found = sorted(found, key=lambda r: (r.doc_id, bytes(r.cells)))
     return fit([bytes(r.cells) for r in found], np.array([r.label for r in found], np.float64), **options) if found else None
 
