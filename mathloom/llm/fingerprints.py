@@ -6,13 +6,17 @@ smallest hash in it (one-permutation minimum hash; an empty range borrows from t
 one, so that texts with few phrases compare too). The share of equal slots estimates the
 Jaccard likeness of two phrase sets, and so how well one text compresses given the other.
 
-Documents are compared with their neighbour in descending doc_id. One shuffle puts them into
-ranges of doc_id; a range's first row is also sent to the range before it, which is all that
-crosses a border, so no order over the whole table is ever made in one task.
+Documents are compared with their neighbour in descending doc_id. Ranges of about equally many
+rows are cut in the order of (doc_id, hash of the text), which only takes those two numbers; so a
+doc_id that many rows have is cut by the texts' hashes. Rows that are equal in both and fill
+ranges of their own are spread over them at random, as each is the other's neighbour. Then one
+shuffle puts each range into a partition; its first row is also sent to the range before it,
+which is all that crosses a border, so no order over the whole table is ever made in one task.
 
 Defined results: null text counts as empty; the empty text has no phrase, its fingerprint is
 all zeros, and it is like another empty text (1) and unlike any other (0). Rows without doc_id
-come last; rows with the same doc_id are ordered by text. Equal texts get equal fingerprints.
+come last; rows with the same doc_id are ordered by the hash of their text. Equal texts get equal
+fingerprints.
 """
 
 from __future__ import annotations
@@ -130,7 +134,8 @@ NAMES = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, own, doc_id, text) sorted by bucket, own first, doc_id descending: each
-    own row is put out as soon as its follower in the bucket is known."""
+    own row is put out as soon as its follower in the bucket is known. The last one of a bucket
+    without a follower is followed by a row equal to it."""
 
     def met(doc_id: int | None, text: str) -> tuple:
         cut = len(text) - len(text) // 3
@@ -147,54 +152,95 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_sig, new = signature(begun), text[:cut] + tail
         return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), show(sig), show(new_sig), likeness(sig, new_sig), likeness(sig, after[2])
 
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * len(NAMES)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=NAMES)
+
     held, bucket = None, None
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
-            batch, out = whole.slice(at, 512), []
-            for b, own, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = met(doc_id, text or "")
-                if held is not None and bucket == b:
-                    out.append(joined(held, row))
-                held, bucket = (row if own else None), b
-            cols = list(zip(*out, strict=True)) or [()] * len(NAMES)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=NAMES)
+            out = []
+            for b, own, doc_id, text in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
+                if held is not None and bucket != b:
+                    out.append(joined(held, held))
+                    held = None
+                if own or held is not None:
+                    row = met(doc_id, text or "")
+                    if held is not None:
+                        out.append(joined(held, row))
+                    held = row if own else None
+                bucket = b
+            yield rows(out)
+    if held is not None:
+        yield rows([joined(held, held)])
+
+
+KEY = np.dtype([("null", np.int8), ("id", np.int64), ("hash", np.int64)])
+
+
+def keys(null: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys that ascend as rows follow each other: ids and hashes descend, null ids are last."""
+    out = np.zeros(len(ids), KEY)
+    out["null"], out["id"], out["hash"] = null, np.where(null, 0, ~ids), ~hashes
+    return out
+
+
+class Ranges:
+    """Where rows go, of the first rows' keys of ranges.
+
+    A key at which several ranges begin is that of rows that fill ranges: these go to as many
+    buckets (at random), and the rows after them to one more. Each other key begins one bucket.
+    """
+
+    def __init__(self, heads: np.ndarray) -> None:
+        self.starts, many = np.unique(heads, return_counts=True)
+        self.spread = np.where(many > 1, many, 0)
+        size = self.spread + 1
+        self.first = np.cumsum(size) - size
+        self.buckets = int(size.sum())
+
+    def place(self, key: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """The bucket of each row; ``chance`` (0 to 1) spreads equal rows."""
+        at = np.maximum(np.searchsorted(self.starts, key, side="right") - 1, 0)
+        spread = self.spread[at]
+        any_of = np.minimum((chance * spread).astype(np.int64), spread - 1)
+        return self.first[at] + np.where(self.starts[at] == key, np.maximum(any_of, 0), spread)
+
+    def before(self, found: list[int]) -> dict[int, int]:
+        """For each bucket of ``found`` whose first row another one needs, that one: the bucket
+        before it, and for the first bucket the last one."""
+        later = {int(f) + k for f, n in zip(self.first, self.spread, strict=True) for k in range(1, n)}
+        return {b: found[i - 1] for i, b in enumerate(found) if b not in later}
 
 
 def fingerprints(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every row and of its edited text; see the module's text."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.count()
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    light = common.checkpointed(rows.select("doc_id", "h"))
+    total = light.count()
     if not total:
         return spark.createDataFrame([], SCHEMA)
-    ranges = max(1, min(total // range_rows, MOST_RANGES))
-    bounds = [] if ranges == 1 else sorted({int(x) for x in rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], min(0.1 / ranges, 0.001))})
-    # bucket = number of bounds above doc_id, so buckets follow descending ids; null ids have the last
-    shared = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h"))
+    ranged = light.withColumn("salt", F.rand(7)).repartitionByRange(max(1, min(total // range_rows, MOST_RANGES)), F.desc_nulls_last("doc_id"), F.desc("h"), "salt")
+    heads = [r.top for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(first.alias("top")).collect()]
+    ranges = Ranges(keys(np.array([not t.some for t in heads]), np.array([t.doc_id or 0 for t in heads], np.int64), np.array([t.h for t in heads], np.int64)))
+    shared = spark.sparkContext.broadcast(ranges)
 
     @F.pandas_udf("int")
-    def above(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(shared.value) - np.searchsorted(shared.value, ids.to_numpy(), side="right")).astype("int32")
-
-    place = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(above(F.coalesce("doc_id", F.lit(0)))).alias("bucket")
-    put = rows.select("doc_id", "text", place)
-    # first row of each bucket: largest doc_id, then smallest text; (bucket, doc_id, text) of as many rows as buckets
-    ids = rows.select("doc_id", place, F.xxhash64("text").alias("h"))
-    found = ids.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "h")).alias("top")).collect()
-    order = sorted(r.bucket for r in found)
-    tops = {r.bucket: (r.top.doc_id, r.top.h) for r in found}
-    # the head of each bucket is also the follower of the last row of the bucket before it, cyclically
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    heads = spark.createDataFrame([(b, tops[b][0], tops[b][1], before[b]) for b in order], "bucket int, top_id bigint, top_h bigint, prior int")
-    return _walk(put, heads, len(order))
-
-
-def _walk(put: DataFrame, heads: DataFrame, parts: int) -> DataFrame:
-    keyed = put.withColumn("h", F.xxhash64("text"))
-    marked = keyed.join(F.broadcast(heads), "bucket", "left")
-    is_head = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h"))
-    places = F.when(is_head, F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own")), F.struct(F.col("prior").alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(True).alias("own"))))
-    spread = marked.select("doc_id", "text", "h", F.explode(places).alias("p")).select("p.b", "p.own", "doc_id", "text", "h")
-    ranged = spread.repartition(parts, "b").sortWithinPartitions("b", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("h"), "text")
+    def bucket(null: pd.Series, ids: pd.Series, hashes: pd.Series, chance: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.place(keys(null.to_numpy(bool), ids.to_numpy(np.int64), hashes.to_numpy(np.int64)), chance.to_numpy())).astype("int32")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("chance", F.rand(11)).withColumn("b", bucket(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "h", "chance")).drop("chance")
+
+    tops = {r.b: r.top for r in placed(light).groupBy("b").agg(first.alias("top")).collect()}
+    before = ranges.before(sorted(tops))
+    wanted = spark.createDataFrame([(b, tops[b].doc_id, tops[b].h, p) for b, p in before.items()], "b int, top_id bigint, top_h bigint, prior int")
+    marked = placed(rows).join(F.broadcast(wanted), "b", "left")
+    here, there = (F.struct(F.col(c).alias("b"), F.lit(own).alias("own")) for c, own in (("b", True), ("prior", False)))
+    is_head = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h")) & F.col("prior").isNotNull()
+    spread = marked.select("doc_id", "text", "h", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("p")).select("p.b", "p.own", "doc_id", "text", "h")
+    ranged = spread.repartitionById(ranges.buckets, F.col("b")).sortWithinPartitions("b", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("h"), "text")
     return common.map_arrow(ranged.select("b", "own", "doc_id", "text"), walk, SCHEMA)
