@@ -108,7 +108,8 @@ def plan(rows: DataFrame, weights: Mapping[str, Mapping[str, int]], share: tuple
     # cells that fit wholly end at the last of them; the next one is ordered row by row
     whole = cells.filter(F.col("end") <= F.col("rest")).groupBy(*TREE).agg(F.max(F.concat("cell", F.lit("g"))).alias("limit"))
     crossed = cells.filter((F.col("end") > F.col("rest")) & (F.col("start") <= F.col("rest"))).select(*TREE, "cell", "start")
-    inside = attached(ranked, crossed, [*TREE, "cell"])
+    # rows of one doc_id, however many, are one row of the order
+    inside = attached(ranked, crossed, [*TREE, "cell"]).groupBy(*TREE, "start", "rest", "rank").agg(F.sum("tokens").alias("tokens"))
     running = F.col("start") + F.sum("tokens").over(Window.partitionBy(*TREE).orderBy("rank"))
     partly = inside.withColumn("end", running).filter(F.col("end") <= F.col("rest")).groupBy(*TREE).agg(F.max("rank").alias("limit"))
     limits = whole.unionByName(partly).groupBy(*TREE).agg(F.max("limit").alias("limit"))
