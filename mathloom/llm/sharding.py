@@ -13,7 +13,8 @@ in all of that, however many rows it has.
 
 ``slot`` numbers the rows of a shard without gaps: rows are hashed into cells, cell counts give
 each cell its first slot, and only rows of one cell are ordered together (by doc_id, then
-text), so a shard is never in one task. A slot is thus the place by cell, doc_id and text.
+text), so a shard is never in one task. A slot is thus the place by cell, doc_id and text. Rows
+that are equal in all count as one there, with their number, and are unfolded at the end.
 
 Defined results: null text has size 1 and the crc32 of the empty text; rows without doc_id are
 placed like all others; repeated rows get different slots; an empty table gives no rows; fewer
@@ -132,13 +133,23 @@ def assigned(rows: DataFrame, shards: int) -> DataFrame:
 
 def numbered(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """``rows`` with ``slot``, gapless from 0 in each shard."""
+    names = rows.columns
     cells = max(1, total // (shards * CELL_ROWS))
     told = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("key")).cast("binary"))
     rows = rows.withColumn("cell", F.conv(F.substring(told, 1, 12), 16, 10).cast("bigint") % cells)
-    counts = rows.groupBy("shard", "cell").count()
+    # rows that are equal in all, however many, are one row of the order
+    same = checkpointed(rows.groupBy(*names, "cell").agg(F.count("*").alias("n")))
+    counts = same.groupBy("shard", "cell").agg(F.sum("n").alias("count"))
     first = counts.select("shard", "cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key"))
-    return rows.withColumn("place", place).join(first, ["shard", "cell"]).withColumn("slot", F.col("first") + F.col("place") - 1).drop("cell", "place", "first")
+    order = Window.partitionBy("shard", "cell").orderBy("doc_id", "key", *[c for c in names if c not in ("doc_id", "key", "shard")])
+    start = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = same.withColumn("start", F.coalesce(start, F.lit(0))).join(first, ["shard", "cell"])
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {CELL_ROWS}"))))
+    if not same.filter(F.col("n") > CELL_ROWS).isEmpty():
+        blocks = blocks.repartition("key", "block")
+    at = F.col("block") * CELL_ROWS
+    out = blocks.withColumn("copy", F.explode(F.sequence(at, F.least(at + CELL_ROWS, F.col("n")) - 1)))
+    return out.select(*names, (F.col("first") + F.col("start") + F.col("copy")).alias("slot"))
 
 
 def sharded(documents: DataFrame, shards: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -165,3 +165,21 @@ def test_few_rows(spark):
     assert sharding.sharded(documents(spark, [])).collect() == []
     (one,) = sharding.sharded(documents(spark, [(1, None, None, None)])).collect()
     assert (one.size, one.text_crc32, one.shard, one.slot) == (1, 0, 0, 0)
+
+
+def test_a_hot_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    rows = [(7, "copied", "en", "s")] * 300 + [(7, "copied", "de", "t")] * 25 + [(i, f"text {i}", "en", "s") for i in range(100)]
+    got = sharding.sharded(documents(spark, rows).repartition(4), 3, keep=("lang", "source")).collect()
+    assert Counter((r.doc_id, r.lang, r.source) for r in got) == Counter((i, lang, s) for i, _, lang, s in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_mixture_by_either_join(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", few)
+    rows = [(i % 40, f"word {'more ' * (i % 9)}", ("en", "de", None)[i % 3], f"src{i % 5}") for i in range(200)] + [(9, "hot row " * 3, "en", "src0")] * 120
+    assert Counter(tuple(r) for r in mixing.mixture(documents(spark, rows)).collect()) == brute_mixture(rows)
