@@ -27,7 +27,8 @@ word has one shingle. Defined results: null and empty texts and texts without wo
 shingles, no link and their own doc_id as component; documents with equal sets are linked;
 repeated rows count as documents of their own; a null doc_id counts as a document and never
 is a component's id unless it is alone. 64-bit hashes stand for shingles and 128-bit hashes
-for whole sets.
+for whole sets. The documents are read several times and must be the same each time (a table, or
+a checkpoint); every row is told once, which is checked.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ PERCENT = 60
 SAMPLE, HOT = 16_000, 16
 #: Shingles of a chunk, of an owner and of a part of a cluster, about.
 CHUNK, PART = 1 << 19, 200_000
-#: Documents whose shingles one owner counts, at most about; more owners for more documents.
-OWNER_DOCS = 2000
+#: Bytes of text whose shingles one owner counts, about; more owners for more text.
+OWNER_BYTES = 6 << 20
 #: Up to so many classes with candidates, their doc_ids are broadcast to find their texts.
 BROADCAST_CLASSES = 500_000
 #: Up to so many rows of 16 bytes that go are broadcast; more are joined by a shuffle.
@@ -366,13 +367,15 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc_id, text_hash, sig, n, n_similar, root and component_id
     of every row; links the pairs (a, b) of numbers of classes of different sets."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    total = docs.count()
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     hot = hot_shingles(docs, total)
-    owners = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // OWNER_DOCS)
+    owners = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // OWNER_BYTES)
     out = sent(docs, hot, owners)
     answered = out.withColumn("to", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(-1 - F.pmod("chunk", F.lit(owners)).cast("int")))
     answered = answered.groupBy("to").applyInPandas(answers, "chunk bigint, owner int, blob binary")
     known = checkpointed(answered.groupBy("chunk").applyInPandas(prefixes, PREFIXES))
+    if (told := known.count()) != total:
+        raise RuntimeError(f"{total} rows were read and {told} told; documents must be a table that is read alike each time")
     filled = known.filter("n > 0")
     classes = checkpointed(filled.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("alone").alias("alone"), F.max("entries").alias("entries")))
     # numbers are by partition and row of the checkpoint, so they are the same whenever it is read

@@ -98,6 +98,27 @@ def test_table_twice(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.near_duplicates(documents(spark, rows).coalesce(1)).collect()) == Counter(brute(rows)[0])
 
 
+def test_joins_without_broadcasts(spark, sf, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_CLASSES", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard, "OWNER_BYTES", 2000)
+    rows = odd(spark, sf, family()[:60])
+    df = documents(spark, rows).repartition(3)
+    df = df.union(df)
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == Counter(brute(rows + rows)[0])
+    want, group = brute(rows + rows)
+    kept = jaccard.one_of_each(df)
+    assert kept.count() == sum(1 for w in want if w[1] == 0) + len({g for g, w in zip(group, want, strict=True) if w[1]})
+
+
+def test_equal_rows_everywhere(spark):
+    """One row many times over, in many partitions, with and without an id, and many rows of one id."""
+    for rows in ([(5, "the very same row", "en", "s")] * 64, [(None, "the very same row", "en", "s")] * 64, [(5, f"row number {i % 9} of one id", "en", "s") for i in range(64)]):
+        df = documents(spark, rows).repartition(8)
+        assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == Counter(brute(rows)[0])
+        assert jaccard.one_of_each(df).count() == len(set(brute(rows)[1]))
+
+
 def test_no_documents(spark):
     assert jaccard.near_duplicates(documents(spark, [])).collect() == []
     assert jaccard.one_of_each(documents(spark, [])).collect() == []
