@@ -1,4 +1,4 @@
-"""python -m mathloom INDEX [-t TERM] [-m TEX] [-x TEXT] [-p PAGE]: search an index; with
+"""python -m mathloom INDEX [-t TERM] [-m TEX] [-x TEXT] [-p PAGE] [-d DICT]: search an index; with
 --build FOLDER first index the JSON corpus of a folder, with --serve run the HTTP daemon."""
 
 from __future__ import annotations
@@ -8,8 +8,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from mathloom.functions.segment import Segmenter
 from mathloom.operators import rank
-from mathloom.plans.engine import Engine, Index, with_ids
+from mathloom.plans.engine import Engine, Index
 from mathloom.plans.query import MESSAGES, Keyword, checked, term_keywords
 from mathloom.plans.server import PORT, server
 from mathloom.sources.corpus import json_corpus
@@ -21,7 +22,7 @@ class Word(argparse.Action):
     def __call__(self, parser: argparse.ArgumentParser, space: argparse.Namespace, value: object, option: str | None = None) -> None:
         words = getattr(space, "words", None) or []
         kind = {"-t": "term", "-m": "tex", "-x": "text"}[option or ""]
-        space.words = words + (term_keywords(str(value)) if kind == "text" else [Keyword(kind, str(value).lower() if kind == "term" else str(value))])
+        space.words = [*words, Keyword(kind, str(value).lower() if kind == "term" else str(value))]
 
 
 def main(args: list[str]) -> int:
@@ -31,14 +32,17 @@ def main(args: list[str]) -> int:
         p.add_argument(flag, action=Word, dest="words")
     p.add_argument("-p", "--page", type=int, default=1)
     p.add_argument("--lexer", default="eng", choices=("eng", "mix"))
+    p.add_argument("-d", "--dictionary", help="file of words, to segment text without blanks")
     p.add_argument("--build")
     p.add_argument("--serve", action="store_true")
     p.add_argument("--port", type=int, default=PORT)
     own = p.parse_args(args)
+    lexer = Segmenter.of_file(own.dictionary) if own.dictionary else own.lexer
+    own.words = [k for w in own.words or [] for k in (term_keywords(w.text, lexer) if w.kind == "text" else [w])]
     spark = SparkSession.builder.appName("mathloom").getOrCreate()
     if own.build:
-        Index.of(with_ids(json_corpus(spark, own.build)), own.lexer).write(own.index)
-    engine = Engine(Index.open(spark, own.index, own.lexer))
+        Index.append(own.index, json_corpus(spark, own.build), lexer)
+    engine = Engine(Index.open(spark, own.index, lexer))
     if own.serve:
         server(engine, port=own.port).serve_forever()
     if not own.words:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,8 +65,38 @@ def deltas(values: Column) -> Column:
 
 
 def restored(diffs: Column) -> Column:
-    """Running sums of an array; for arrays that one row holds."""
-    return F.transform(diffs, lambda _, i: F.aggregate(F.slice(diffs, 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    """Running sums of an array, in one pass over it."""
+
+    @F.pandas_udf("array<bigint>")
+    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64))
+
+    return sums(diffs)
+
+
+def packed(values: Column, codec: str = "for") -> Column:
+    """The bytes of an array of integers in a codec of CODECS."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pack_one = CODECS[codec][0]
+        for s in batches:
+            yield s.map(lambda x: None if x is None else pack_one([int(v) for v in x]))
+
+    return run(values)
+
+
+def unpacked(blob: Column, n: Column, codec: str = "for") -> Column:
+    """The ``n`` integers of bytes that ``packed`` made."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        unpack_one = CODECS[codec][1]
+        for blobs, sizes in batches:
+            yield pd.Series([None if b is None else unpack_one(bytes(b), int(k)) for b, k in zip(blobs, sizes, strict=True)])
+
+    return run(blob, n)
 
 
 def pack_plain(values: list[int]) -> bytes:

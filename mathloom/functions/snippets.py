@@ -3,25 +3,43 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 PADDING = 320
 FORMULA_OR_WORD = re.compile(r"\[imath\].*?(?:\[/imath\]|\Z)|[a-zA-Z]+", re.S)
 MIXED = re.compile(r"\[imath\].*?(?:\[/imath\]|\Z)|[a-zA-Z]+|[^\x00-\x7f]", re.S)
 
 
-def segments(text: str, lexer: str = "eng") -> list[tuple[int, int]]:
+def segments(text: str, lexer: str | Callable[[str], list[str]] = "eng") -> list[tuple[int, int]]:
     """Byte ranges of a text's tokens in order of position."""
     out, at, chars = [], 0, 0
-    for m in (FORMULA_OR_WORD if lexer == "eng" else MIXED).finditer(text):
-        if m.group().startswith("[imath]") and not m.group().endswith("[/imath]"):
+    for start, end in _tokens(text, lexer):
+        token = text[start:end]
+        if token.startswith("[imath]") and not token.endswith("[/imath]"):
             continue
-        at += len(text[chars : m.start()].encode())
-        n = len(m.group().encode())
+        at += len(text[chars:start].encode())
+        n = len(token.encode())
         out.append((at, at + n))
-        at, chars = at + n, m.end()
+        at, chars = at + n, end
     return out
 
 
+def _tokens(text: str, lexer: str | Callable[[str], list[str]]) -> Iterator[tuple[int, int]]:
+    if not callable(lexer):
+        yield from (m.span() for m in (FORMULA_OR_WORD if lexer == "eng" else MIXED).finditer(text))
+        return
+    at = 0
+    for token in lexer(text):
+        at = text.index(token, at)
+        yield at, at + len(token)
+        at += len(token)
+
+
+def spaced(formula: str) -> str:
+    """A formula for a page: blanks around each ``<``, so that none begins a tag."""
+    return formula.replace("<", " < ")
+
+
 def _starts(byte: int) -> bool:
     return byte & 0xC0 != 0x80
 
@@ -68,7 +86,7 @@ def snippet(text: str, marks: list[tuple[int, int]], opened: str = "<em>", close
     return "".join(out)
 
 
-def highlighted(text: str, occurs: list[int], opened: str = "<em>", closed: str = "</em>", lexer: str = "eng") -> str:
+def highlighted(text: str, occurs: list[int], opened: str = "<em>", closed: str = "</em>", lexer: str | Callable[[str], list[str]] = "eng") -> str:
     """The snippet of the tokens whose positions are in ``occurs``."""
     got = segments(text, lexer)
     return snippet(text, [got[p] for p in sorted(set(occurs)) if p < len(got)], opened, closed)

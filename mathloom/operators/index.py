@@ -10,15 +10,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.functions import tex as tex_functions
+from mathloom.operators import text
 
 MAX_POSITIONS = 2048
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, pos): at most MAX_POSITIONS positions count."""
-    rows = tokens.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-    pos = F.slice("pos", 1, MAX_POSITIONS)
-    return rows.select("term", "doc_id", F.least(F.size("pos"), F.lit(MAX_POSITIONS)).alias("tf"), pos.alias("pos"))
+def postings(docs: DataFrame, lexer: text.Lexer = "eng") -> DataFrame:
+    """(term, doc_id, tf, pos, doc_len) of (doc_id, text): at most MAX_POSITIONS positions count.
+
+    A document is one row, so its tokens are sorted and cut into terms inside the row: no token
+    is shuffled.
+    """
+    rows = docs.select("doc_id", text.token_array(F.col("text"), lexer).alias("tokens")).filter(F.size("tokens") > 0)
+    found = F.sort_array(F.transform("tokens", lambda t, i: F.struct(text.term_of(t).alias("term"), i.alias("pos"))))
+
+    def lists(s: Column, starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(s))
+            own = F.slice(s, at + 1, F.least(end - at, F.lit(MAX_POSITIONS)))
+            return F.struct(F.get(s, at)["term"].alias("term"), F.transform(own, lambda x: x["pos"]).alias("pos"))
+
+        return F.transform(starts, one)
+
+    def cut(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        return F.get(F.transform(F.array(begins), lambda b: lists(s, b)), F.lit(0))
+
+    # variables of lambdas are computed once, however often they are used
+    made = F.get(F.transform(F.array(found), cut), F.lit(0))
+    rows = rows.select("doc_id", F.size("tokens").cast("bigint").alias("doc_len"), F.explode(made).alias("p"))
+    return rows.select("p.term", "doc_id", F.size("p.pos").alias("tf"), "p.pos", "doc_len")
 
 
 def term_df(postings: DataFrame) -> DataFrame:

@@ -32,6 +32,29 @@ def min_distance(positions: DataFrame, by: str = "doc_id") -> DataFrame:
     return rows.groupBy(by).agg(F.min(F.when(apart, F.col("pos") - F.col("p"))).alias("dist"))
 
 
+def merged(lists: Column) -> Column:
+    """The positions of lists (list_id, pos: array) of one document as sorted (pos, list_id)."""
+    return F.sort_array(F.flatten(F.transform(lists, lambda x: F.transform(x["pos"], lambda p: F.struct(p.alias("pos"), x["list_id"].alias("list_id"))))))
+
+
+def nearest(places: Column) -> Column:
+    """``min_distance`` of one document's merged positions."""
+
+    def gap(s: Column) -> Column:
+        def one(i: Column) -> Column:
+            a, b = F.get(s, i - 1), F.get(s, i)
+            return F.when((a["pos"] != b["pos"]) & (a["list_id"] != b["list_id"]), b["pos"] - a["pos"])
+
+        return F.when(F.size(s) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), one)))
+
+    return F.get(F.transform(F.array(places), gap), F.lit(0))
+
+
+def first_places(places: Column) -> Column:
+    """``occurrences`` of one document's merged positions."""
+    return F.slice(F.array_distinct(F.transform(places, lambda x: x["pos"])), 1, MAX_OCCURS)
+
+
 def proximity(dist: Column) -> Column:
     return F.log(F.lit(0.3) + F.coalesce(F.exp(-dist), F.lit(0.0)))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +13,8 @@ FORMULA = r"\[imath\].*?(?:\[/imath\]|\z)"
 WORD = "[a-zA-Z]+"
 #: "eng": runs of letters. "mix": also each character outside ASCII, for text without blanks.
 LEXERS = {"eng": f"(?s){FORMULA}|{WORD}", "mix": rf"(?s){FORMULA}|{WORD}|[^\x00-\x7F]"}
+#: A lexer's name, or a function from a text to its tokens as they stand in it, in order.
+Lexer = str | Callable[[str], list[str]]
 #: The term that stands for a formula in the term index.
 MATH_TERM = "math_exp"
 
@@ -18,12 +23,25 @@ def _is_formula(token: Column) -> Column:
     return token.startswith("[imath]") & token.endswith("[/imath]")
 
 
-def token_array(text: Column, lexer: str = "eng") -> Column:
+def token_array(text: Column, lexer: Lexer = "eng") -> Column:
     """Tokens as they stand in the text. A formula that is never closed gives none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEXERS[lexer]), F.lit(0))
+    if callable(lexer):
+
+        @F.pandas_udf("array<string>")
+        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield s.map(lexer)
+
+        found = cut(F.coalesce(text, F.lit("")))
+    else:
+        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEXERS[lexer]), F.lit(0))
     return F.filter(found, lambda t: ~t.startswith("[imath]") | t.endswith("[/imath]"))
 
 
+def term_of(token: Column) -> Column:
+    return F.when(_is_formula(token), MATH_TERM).otherwise(F.lower(token))
+
+
 def strip_tags(formula: Column) -> Column:
     return F.regexp_replace(formula, r"^\[imath\]|\[/imath\]$", "")
 
@@ -33,15 +51,14 @@ def formula_text(formula: Column) -> Column:
     return F.regexp_replace(F.translate(strip_tags(formula), "\n\r\t", "   "), r"[^\x20-\x7E]", "")
 
 
-def tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lexer: str = "eng") -> DataFrame:
+def tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lexer: Lexer = "eng") -> DataFrame:
     """(doc_id, pos, term, tex): one row for each token; ``tex`` only for formulae, whose term
     is MATH_TERM, so that positions stay in step (P6, Q10)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(token_array(F.col(text), lexer)).alias("pos", "t"))
-    math = _is_formula(F.col("t"))
-    return rows.select("doc_id", "pos", F.when(math, MATH_TERM).otherwise(F.lower("t")).alias("term"), F.when(math, formula_text(F.col("t"))).alias("tex"))
+    return rows.select("doc_id", "pos", term_of(F.col("t")).alias("term"), F.when(_is_formula(F.col("t")), formula_text(F.col("t"))).alias("tex"))
 
 
-def token_offsets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lexer: str = "eng") -> DataFrame:
+def token_offsets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lexer: Lexer = "eng") -> DataFrame:
     """(doc_id, pos, token, offset): the byte at which each token starts."""
     gaps = F.split(F.coalesce(F.col(text), F.lit("")), LEXERS[lexer], -1)
     both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(LEXERS[lexer]), F.lit(0)).alias("token"))

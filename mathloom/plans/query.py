@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 MAX_TEX, MAX_TERMS = 4, 20
@@ -28,12 +29,13 @@ class Keyword:
     text: str
 
 
-def term_keywords(text: str, lexer: str = "eng") -> list[Keyword]:
+def term_keywords(text: str, lexer: str | Callable[[str], list[str]] = "eng") -> list[Keyword]:
     """A term string's own tokens (Q11: like documents, also in "mix")."""
-    return [Keyword("term", w.lower()) for w in (WORDS if lexer == "eng" else MIXED).findall(text)]
+    found = [w for w in lexer(text) if not w.startswith("[imath]")] if callable(lexer) else (WORDS if lexer == "eng" else MIXED).findall(text)
+    return [Keyword("term", w.lower()) for w in found]
 
 
-def parse_request(body: str, lexer: str = "eng") -> tuple[int, int, list[Keyword]]:
+def parse_request(body: str, lexer: str | Callable[[str], list[str]] = "eng") -> tuple[int, int, list[Keyword]]:
     """(return code, page, keywords) of {"page": n, "kw": [{"type", "str"}]}."""
     bad = (2, 0, [])
     try:
@@ -75,7 +77,7 @@ def split_raw(raw: str) -> list[str]:
     return [*out, now]
 
 
-def classified(raw: str, lenient: bool = False, lexer: str = "eng") -> list[Keyword]:
+def classified(raw: str, lenient: bool = False, lexer: str | Callable[[str], list[str]] = "eng") -> list[Keyword]:
     """Keywords of a search line: ``$...$`` is TeX with ``?`` as wildcard, the rest are terms;
     ``lenient`` takes anything with an operator in it for TeX."""
     out: list[Keyword] = []

@@ -61,8 +61,8 @@ def test_unclosed_formula_gives_nothing(spark):
 
 def test_position_cap(spark):
     rows = spark.createDataFrame([(1, "w " * 3000)], "doc_id int, text string")
-    row = index.postings(text.tokens(rows)).first()
-    assert (row.tf, len(row.pos)) == (2048, 2048)
+    row = index.postings(rows).first()
+    assert (row.tf, len(row.pos), row.doc_len) == (2048, 2048, 3000)
 
 
 def test_bm25_length_factor_q2(spark):
@@ -187,3 +187,80 @@ def test_http(formulae):
     ask = urllib.request.Request(f"http://127.0.0.1:{s.server_port}/search", json.dumps({"page": 1, "kw": [{"type": "tex", "str": "y^2-x^3"}]}).encode())
     assert json.loads(urllib.request.urlopen(ask).read())["ret_code"] == 0
     s.shutdown()
+
+
+def test_batches_count_once_and_failures_leave_no_trace(spark, tmp_path, monkeypatch):
+    from mathloom.plans import storage
+
+    path = f"file://{tmp_path}/index"  # a URI, as on a cluster
+    rows = lambda *names: spark.createDataFrame([(n, f"word {n}") for n in names], "url string, text string")
+    append_batch(path, rows("b", "a"), segment="batch0")
+    append_batch(path, rows("b", "a"), segment="batch0")
+    assert {r.doc_id: r.url for r in Index.open(spark, path).docs.collect()} == {1: "a", 2: "b"}
+    # a write that fails before the end changes nothing, and is done again whole
+    monkeypatch.setattr(storage, "write_text", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        append_batch(path, rows("c", "d"), segment="batch1")
+    monkeypatch.undo()
+    assert Engine(Index.open(spark, path)).doc_n == 2
+    append_batch(path, rows("c", "d"), segment="batch1")
+    e = Engine(Index.open(spark, path))
+    assert {r.doc_id: r.url for r in e.index.docs.collect()} == {1: "a", 2: "b", 3: "c", 4: "d"}
+    assert e.summary() == {"doc_n": 4, "avg_doc_len": 2, "term_n": 5}
+    assert {r.term: r.term_id for r in e.term_ids(["word", "a", "d", "none"]).collect()} == {"a": 1, "word": 3, "d": 5}
+    assert [r.term for r in e.terms_of([3]).collect()] == ["word"]
+    with pytest.raises(FileExistsError):
+        e.index.write(path)
+
+
+def test_postings_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b a b [imath]x[/imath] B"), (2, None), (3, "")], "doc_id long, text string")
+    post = index.postings(rows)
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, post.collect())) == [("a", 1, 1, [1], 5), ("b", 1, 3, [0, 2, 4], 5), ("math_exp", 1, 1, [3], 5)]
+
+
+def test_a_search_shuffles_once_by_document(spark, tmp_path):
+    of(spark, TERM_DOCS).write(str(tmp_path / "i"))
+    e = Engine(Index.open(spark, str(tmp_path / "i")))
+    plan = e.term_search(["dog", "loves"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    e.warm(["dog"])
+    assert "InMemoryTableScan" in e.postings(["dog"])._jdf.queryExecution().executedPlan().toString()
+    assert len(e.term_search(["dog"]).collect()) == 4
+    e.warm([])
+    assert e.postings(["dog"]).count() == 4 and e.dump("dog").count() == 4
+
+
+def test_merged_positions_against_windows(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(d, f"l{k}", sorted(rnd.sample(range(40), rnd.randrange(1, 6)))) for d in range(40) for k in range(rnd.randrange(1, 4))]
+    df = spark.createDataFrame(rows, "doc_id int, list_id string, pos array<int>")
+    long = df.select("doc_id", "list_id", score.F.explode("pos").alias("pos"))
+    want = {r.doc_id: r.dist for r in score.min_distance(long).collect()}
+    both = df.groupBy("doc_id").agg(score.F.collect_list(score.F.struct("list_id", "pos")).alias("l")).withColumn("m", score.merged(score.F.col("l")))
+    got = both.select("doc_id", score.nearest(score.F.col("m")).alias("dist"), score.first_places(score.F.col("m")).alias("o")).collect()
+    assert {r.doc_id: r.dist for r in got} == want
+    assert {r.doc_id: r.o for r in got} == {r.doc_id: r.occurs for r in score.occurrences(long).collect()}
+
+
+def test_segmenter(spark, tmp_path):
+    from mathloom.functions.segment import Segmenter
+
+    (tmp_path / "d.txt").write_text("狗 10 n\n个字 3\n一个 5\n", encoding="utf-8")
+    cut = Segmenter.of_file(str(tmp_path / "d.txt"))
+    assert cut("dog 一个字 狗[imath]x[/imath]") == ["dog", "一个", "字", "狗", "[imath]x[/imath]"]
+    e = Engine(of(spark, TERM_DOCS, cut))
+    hit = e.search([Keyword("term", "一个")]).collect()
+    assert [r.doc_id for r in hit] == [4]
+    assert "<em>一个</em>字" in e.page(hit, 1)[0]["snippet"]
+
+
+def test_rejected_files(spark, tmp_path):
+    for name, body in (("a", '{"url": "u", "text": "t"}'), ("b", '{"url": "u"}'), ("c", "{broken"), ("d", '{"url": "u", "text": "' + "x" * 500 + '"}')):
+        (tmp_path / f"{name}.json").write_text(body)
+    assert [r.url for r in corpus.json_corpus(spark, str(tmp_path), 400).collect()] == ["u"]
+    got = {r.path.rsplit("/", 1)[-1]: r.reason for r in corpus.json_rejects(spark, str(tmp_path), 400).collect()}
+    assert got == {"b.json": "no text", "c.json": "not JSON", "d.json": "too large"}
