@@ -30,6 +30,17 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a part of a batch that a worker handles, and puts out, at once.
+PART_ROWS = 1000
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of PART_ROWS, which share their memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of doc_id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -71,7 +82,7 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(len(keep)).cast(pa.binary())
             rows = [one(t.as_py() or b"") for t in texts]
             cols = list(zip(*rows, strict=True)) or [()] * len(names)

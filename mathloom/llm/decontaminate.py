@@ -517,7 +517,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.parts(batches):
             out = []
             if shared.value is not None:
                 texts = (t.as_py() for t in batch.column(1))
@@ -534,11 +534,12 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     model = fit(documents, benchmark)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     fields = documents.schema.fields
+    at_text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = (t.as_py() for t in batch.column(len(fields)))
+        for batch in common.parts(batches):
+            texts = (t.as_py() for t in batch.column(at_text))
             keep = [True] * batch.num_rows if shared.value is None else [not held for held in searched(texts, shared.value)]
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(fields)], names=[f.name for f in fields]).filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return common.map_arrow(documents.select("*", F.col("text").alias("text_")), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    return common.map_arrow(documents, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))

@@ -158,6 +158,8 @@ def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = (
     fields = documents.select(*keep).schema.fields
     spec = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     told = least is None
+    # a text that is kept travels once
+    at_text = keep.index("text") if "text" in keep else len(keep)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def judged(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -190,14 +192,15 @@ def predict(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = (
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                names, scores = judged(batch.column(batch.num_columns - 1).to_pylist())
+                names, scores = judged(batch.column(at_text).to_pylist())
                 kept = batch.columns[: len(keep)]
                 if told:
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
                 else:
                     yield pa.RecordBatch.from_arrays(kept, names=list(keep)).filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return common.map_arrow(documents.select(*keep, F.col("text").alias("text_")), run, ", ".join(spec + (["lang_pred string", "score double"] if told else [])))
+    own = documents.select(*keep) if "text" in keep else documents.select(*keep, "text")
+    return common.map_arrow(own, run, ", ".join(spec + (["lang_pred string", "score double"] if told else [])))
 
 
 def language(documents: DataFrame, mod: int = 4, rest: int = 2) -> DataFrame:
