@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,19 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """``df.mapInArrow``. Spark bounds a batch by rows and by bytes (64 MB unless the session
     says otherwise, see ``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts make
     batches of fewer rows."""
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the machine, as workers wait for more tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Rows of a part of a batch that a worker handles, and puts out, at once.

@@ -215,6 +215,8 @@ def answers(pdf: pd.DataFrame) -> pd.DataFrame:
         at += size
         kept = own > 1
         out.append(pack(v[kept], i[kept]) + np.minimum(own[kept], 255).astype(np.uint8).tobytes())
+    del parts, values, order, ordered, df
+    common.give_back()
     return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "owner": pdf["owner"].to_numpy(), "blob": out})
 
 
@@ -321,6 +323,8 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
             r, s = top(i), top(j)
             root[r] = s
             out.append((a, b, r != s, int(weight[i]), int(weight[j])))
+    del sets, bins
+    common.give_back()
     return pd.DataFrame(out, columns=["a", "b", "forest", "na", "nb"]).astype({"a": "int64", "b": "int64", "forest": bool, "na": "int64", "nb": "int64"})
 
 
