@@ -91,7 +91,7 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], tu
     that of one batch and one text.
     """
     out = df.select(*keep).schema
-    parts = [f"{f.name} {f.dataType.simpleString()}" for f in out.fields]
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in out.fields]
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], tu
                 names=[*keep, *names],
             )
 
-    return map_arrow(df.select(*keep, F.col("text").cast("binary").alias("text")), run, ", ".join([*parts, schema]))
+    return map_arrow(df.select(*keep, F.col("text").cast("binary").alias("text")), run, ", ".join([*kept, schema]))
 
 
 ARROW = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "float": pa.float32()}
