@@ -25,6 +25,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``checkpointed``, after which the shuffle files of ``df`` are deleted. Else they stay until
+    the driver happens to collect its garbage, and those of all steps of a query add up. If ``df``
+    is used again itself, Spark makes them anew."""
+    out = checkpointed(df)
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if cleaner.isDefined():
+        # the plan has run, so this only names its parts
+        for number in shuffles(df._jdf.queryExecution().toRdd()):
+            cleaner.get().doCleanupShuffle(number, True)
+    return out
+
+
+def shuffles(rdd) -> set[int]:  # noqa: ANN001
+    """The numbers of the shuffles that a JVM RDD comes from."""
+    found: set[int] = set()
+    met, todo = set(), [rdd]
+    while todo:
+        at = todo.pop()
+        if at.id() in met:
+            continue
+        met.add(at.id())
+        behind = at.dependencies()
+        for k in range(behind.size()):
+            link = behind.apply(k)
+            if link.getClass().getSimpleName() == "ShuffleDependency":
+                found.add(link.shuffleId())
+            todo.append(link.rdd())
+    return found
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow``. Spark bounds a batch by rows and by bytes (64 MB unless the session
     says otherwise, see ``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts make

@@ -12,7 +12,8 @@ few documents meet there. The steps:
    and answers the chunk with those that occur more than once. Shingles of one document only
    need no answer: they come first in the order and meet nobody.
 3. A chunk then knows its documents' prefixes. Documents with equal sets become one class with
-   a count. The classes' prefix entries (shingle, class, size, position) meet on the shingle;
+   a count. The classes' prefix entries (shingle, class, size, position) meet on the shingle,
+   and the shingles' lists at their smallest class, as similar documents meet in many shingles;
    length and positional filters leave few pairs, each kept once.
 4. Candidates are verified once, in blocks: classes are gathered around their smallest
    neighbour, clusters are cut into parts of bounded size, and a block holds two parts, so a
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mathloom.llm import common
-from mathloom.llm.common import checkpointed
+from mathloom.llm.common import settled
 
 #: The link condition is 100 * intersection >= PERCENT * union.
 PERCENT = 60
@@ -59,6 +60,8 @@ OWNER_BYTES = 6 << 20
 BROADCAST_CLASSES = 500_000
 #: Up to so many rows of 16 bytes that go are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Entries of a shingle's list that are handled at once; longer lists are cut.
+WIDE = 512
 #: Owners see this many bits of a shingle; the rest of the order is who owns it.
 LOW = np.uint64((1 << 40) - 1)
 
@@ -272,14 +275,126 @@ def entries(classes: DataFrame) -> DataFrame:
     return common.map_arrow(classes.select("node", F.col("n").cast("int").alias("n"), "alone", "entries"), run, "shingle bigint, node bigint, n int, pos int")
 
 
+LISTS = "least bigint, cut int, met binary"
+ENTRY = np.dtype([("node", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+
+def packed(own: np.ndarray, sizes: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+    """Rows of LISTS: ``own`` has the lists' entries one after another."""
+    ends = np.append(0, np.cumsum(sizes))
+    blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(own.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(own["node"][ends[:-1]]), pa.array(cut, pa.int32()), blobs], names=["least", "cut", "met"])
+
+
+def lists(h: np.ndarray, own: np.ndarray, wide: int) -> Iterator[pa.RecordBatch]:
+    """The entries of each shingle as a list by node. Lists of one are left out; longer ones than
+    ``wide`` are cut into parts, and each part and each two parts (``cut``: where the second
+    begins) make a list, so that all their pairs still meet."""
+    order = np.lexsort((own["node"], h))
+    h, own = h[order], own[order]
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    sizes = np.diff(np.append(starts, len(h)))
+    fits = (sizes > 1) & (sizes <= wide)
+    if fits.any():
+        yield packed(own[np.repeat(fits, sizes)], sizes[fits], np.zeros(fits.sum(), np.int32))
+    for at in np.flatnonzero(sizes > wide):
+        whole = own[starts[at] : starts[at] + sizes[at]]
+        cells = [whole[k : k + wide // 2] for k in range(0, len(whole), wide // 2)]
+        for i, one in enumerate(cells):
+            yield packed(one, np.array([len(one)]), np.zeros(1, np.int32))
+            for other in cells[i + 1 :]:
+                yield packed(np.concatenate([one, other]), np.array([len(one) + len(other)]), np.array([len(one)]))
+
+
+def fitting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of entries pass the length and positional filters, with the smaller node first."""
+    na, nb = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    need = (PERCENT * (na + nb) + 99 + PERCENT) // (100 + PERCENT)  # ceil(t / (1 + t) * (na + nb))
+    return (x["node"] < y["node"]) & (na * 100 >= PERCENT * nb) & (nb * 100 >= PERCENT * na) & (na - x["pos"] >= need) & (nb - y["pos"] >= need)
+
+
+def alike(own: np.ndarray) -> np.ndarray:
+    """Rows of a matrix of entries, one for each list of nodes, with the nodes' least positions
+    (which let through what any of the rows lets through, and perhaps more)."""
+    order = np.lexsort(own["node"].T)
+    own = own[order]
+    first = np.flatnonzero(np.append(True, (own["node"][1:] != own["node"][:-1]).any(axis=1)))
+    out = own[first]
+    out["pos"] = np.minimum.reduceat(own["pos"], first, axis=0)
+    return out
+
+
+#: Pairs that are made at once.
+BLOCK = 1 << 20
+
+
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of the lists' entries that pass the filters, each once in a block."""
+
+    def told(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+    for batch in batches:
+        blobs, cuts = batch.column("met").to_pylist(), batch.column("cut").to_numpy()
+        sizes = np.array([len(x) // ENTRY.itemsize for x in blobs])
+        own = np.frombuffer(b"".join(blobs), ENTRY)
+        starts = np.cumsum(sizes) - sizes
+        found, held = [], 0
+        for size, cut in sorted(set(zip(sizes.tolist(), cuts.tolist(), strict=True))):
+            rows = alike(own[starts[(sizes == size) & (cuts == cut)][:, None] + np.arange(size)])
+            i, j = np.triu_indices(size, 1)
+            if cut:
+                across = (i < cut) & (j >= cut)
+                i, j = i[across], j[across]
+            step = max(1, BLOCK // max(len(i), 1))
+            for at in range(0, len(rows), step):
+                x, y = rows[at : at + step, i].ravel(), rows[at : at + step, j].ravel()
+                ok = fitting(x, y)
+                found.append((x["node"][ok], y["node"][ok]))
+                held += int(ok.sum())
+                if held > BLOCK:
+                    yield told(found)
+                    found, held = [], 0
+        if found:
+            yield told(found)
+
+
+def meetings(found: DataFrame, wide: int = WIDE) -> DataFrame:
+    """Pairs (a, b) with a < b that pass the length and positional filters, some several times.
+
+    Similar documents meet in many shingles. Their lists go on to their smallest node before
+    pairs are made of them, so what is shuffled grows with the entries, and most repeats of a
+    pair are met in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, more = np.zeros(0, np.int64), np.zeros(0, ENTRY)
+        for batch in batches:
+            h = np.concatenate([left, batch.column("shingle").to_numpy()])
+            own = np.concatenate([more, np.zeros(batch.num_rows, ENTRY)])
+            for name in ENTRY.names:
+                own[name][len(left) :] = batch.column(name).to_numpy()
+            if not len(h):
+                continue
+            # the last shingle may go on in the next batch
+            last = int(np.searchsorted(h, h[-1]))
+            left, more = h[last:], own[last:]
+            if last:
+                yield from lists(h[:last], own[:last], wide)
+        if len(left):
+            yield from lists(left, more, wide)
+
+    gathered = common.map_arrow(found.repartition("shingle").sortWithinPartitions("shingle"), run, LISTS)
+    return common.map_arrow(gathered.repartition("least").sortWithinPartitions("least"), paired, "a bigint, b bigint")
+
+
 def candidates(found: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with a < b that pass the length and positional filters."""
-    left = found.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = found.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    # needed overlap: ceil(t / (1 + t) * (na + nb))
-    need = f"cast((({PERCENT} * (na + nb)) + {99 + PERCENT}) div {100 + PERCENT} as int)"
-    fits = F.expr(f"a < b and na * 100L >= {PERCENT}L * nb and nb * 100L >= {PERCENT}L * na and na - pa >= {need} and nb - pb >= {need}")
-    return left.join(right, "shingle").filter(fits).select("a", "b").distinct()
+    """Distinct pairs (a, b) with a < b that may hold."""
+    return meetings(found).distinct()
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -334,10 +449,10 @@ def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     near = ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")).join(classes.select("node", "n"), "node")
     sizes = near.groupBy("label").agg(F.sum("n").alias("all"))
     part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("all") / PART))).cast("int")
-    placed = checkpointed(near.join(sizes, "label").select("node", F.struct("label", part.alias("part")).alias("cell")))
+    placed = settled(near.join(sizes, "label").select("node", F.struct("label", part.alias("part")).alias("cell")))
     cells = pairs.join(placed.select(F.col("node").alias("a"), F.col("cell").alias("ca")), "a").join(placed.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
     cells = cells.select("a", "b", F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2"))
-    cells = checkpointed(cells.withColumn("block", F.xxhash64("c1", "c2")).select("a", "b", "block"))
+    cells = settled(cells.withColumn("block", F.xxhash64("c1", "c2")).select("a", "b", "block"))
     need = cells.select(F.col("a").alias("node"), "block").unionAll(cells.select("b", "block")).distinct()
     own = need.join(classes.select("node", "copies"), "node").join(texts, "node")
     rows = own.select("block", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), "text", "copies").unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
@@ -350,7 +465,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds: every node hands its larger neighbours, then itself and
     its smaller ones, to the smallest of them, until nothing changes.
     """
-    edges = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
+    edges = settled(edges.select("a", "b").filter("a <> b").distinct())
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -360,7 +475,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = F.min("b").over(Window.partitionBy("a"))
         small = large.withColumn("m", least)
         small = small.select("a", F.col("m").alias("b")).unionAll(small.filter("b > m").select(F.col("b"), F.col("m"))).distinct()
-        edges = checkpointed(small)
+        edges = settled(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -377,16 +492,16 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = sent(docs, hot, owners)
     answered = out.withColumn("to", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(-1 - F.pmod("chunk", F.lit(owners)).cast("int")))
     answered = answered.groupBy("to").applyInPandas(answers, "chunk bigint, owner int, blob binary")
-    known = checkpointed(answered.groupBy("chunk").applyInPandas(prefixes, PREFIXES))
+    known = settled(answered.groupBy("chunk").applyInPandas(prefixes, PREFIXES))
     if (told := known.count()) != total:
         raise RuntimeError(f"{total} rows were read and {told} told; documents must be a table that is read alike each time")
     filled = known.filter("n > 0")
-    classes = checkpointed(filled.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("alone").alias("alone"), F.max("entries").alias("entries")))
+    classes = settled(filled.groupBy("sig").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("alone").alias("alone"), F.max("entries").alias("entries")))
     # numbers are by partition and row of the checkpoint, so they are the same whenever it is read
     classes = classes.withColumn("node", F.monotonically_increasing_id())
-    pairs = checkpointed(candidates(entries(classes)))
+    pairs = settled(candidates(entries(classes)))
     texts = class_texts(docs, classes, pairs)
-    found = checkpointed(links(classes, pairs, texts))
+    found = settled(links(classes, pairs, texts))
     degree = found.select(F.col("a").alias("node"), F.col("nb").alias("n")).unionAll(found.select("b", "na")).groupBy("node").agg(F.sum("n").alias("linked"))
     roots = components(found.filter("forest"))
     group = classes.select("sig", "node", "copies", "least_id").join(roots, "node", "left").join(degree, "node", "left")
@@ -400,7 +515,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
     """(node, text): one text of each class that has a candidate. Texts are found by doc_id and
     hashed again, as a doc_id may stand for several rows."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    chosen = checkpointed(classes.select("node", "sig", "least_id").join(wanted, "node", "left_semi"))
+    chosen = settled(classes.select("node", "sig", "least_id").join(wanted, "node", "left_semi"))
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CLASSES else chosen
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,13 +541,13 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest doc_id (then text hash), all
     columns as they were; rows without words are all kept."""
     members, _ = joined(documents)
-    members = checkpointed(members.filter("n > 0").select("doc_id", "text_hash", "root"))
+    members = settled(members.filter("n > 0").select("doc_id", "text_hash", "root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = members.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_hash")
     rows = members.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     kept = kept.withColumn("stays", F.lit(True))
     both = ["doc_id", "text_hash"]
-    told = checkpointed(rows.join(kept, [rows[c].eqNullSafe(kept[c]) for c in both], "left").select(*[rows[c].alias(f"{c}_") for c in both], "n", F.coalesce("stays", F.lit(False)).alias("stays")))
+    told = settled(rows.join(kept, [rows[c].eqNullSafe(kept[c]) for c in both], "left").select(*[rows[c].alias(f"{c}_") for c in both], "n", F.coalesce("stays", F.lit(False)).alias("stays")))
     out = documents.withColumn("row_", F.struct(*documents.columns)).select("row_", F.col("doc_id").cast("bigint").alias("id_"), F.xxhash64("text").alias("hash_"))
 
     def on(side: DataFrame) -> list:
