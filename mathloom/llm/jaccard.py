@@ -18,8 +18,8 @@ few documents meet there. The steps:
 4. Candidates are verified once, in blocks: classes are gathered around their smallest
    neighbour, clusters are cut into parts of bounded size, and a block holds two parts, so a
    text travels to as many blocks as its partners fill, not to each partner. A block drops
-   pairs by the suffix filter (the counts in ranges of the hash bound the overlap), and
-   compares the others exactly.
+   pairs by the suffix filter (the counts in ranges of the hash bound the overlap) and by the
+   common bits of two bitmaps, which bound it too, and compares the others exactly.
 5. Links give each class its number of linked documents; components come from alternating
    smallest-neighbour rounds on a spanning forest of each block.
 
@@ -402,6 +402,23 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(np.diff(a), np.diff(b)).sum())
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """The low ends of a set's hashes as bits, of which there are 4 to 8 for each."""
+    bits = np.zeros(1 << max(6, (4 * len(h) - 1).bit_length()), bool)
+    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def shared_bound(x: np.ndarray, y: np.ndarray, spare: int) -> int:
+    """An upper bound of the overlap of two sets with the bitmaps ``x`` and ``y``, where ``y`` is no
+    longer and ``spare`` hashes of its set found their bit taken: shared ones are at most the
+    bits in both, and the spare ones."""
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] | x[half:]
+    return int(np.bitwise_count(x & y).sum()) + spare
+
+
 RANGES = np.arange(16, dtype=np.uint64) << np.uint64(60)
 LINKS = "a bigint, b bigint, forest boolean, na bigint, nb bigint"
 
@@ -414,6 +431,8 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
     sets = [shingles(bytes(t)) for t in texts["text"]]
     weight = texts["copies"].to_numpy()
     bins = [np.append(np.searchsorted(s, RANGES), len(s)) for s in sets]
+    maps = [bitmap(s) for s in sets]
+    spare = [len(s) - int(np.bitwise_count(m).sum()) for s, m in zip(sets, maps, strict=True)]
     root = list(range(len(sets)))
 
     def top(x: int) -> int:
@@ -430,6 +449,9 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
         need = -(-PERCENT * (len(x) + len(y)) // (100 + PERCENT))
         if overlap_bound(bins[i], bins[j]) < need:
             continue
+        p, q = (j, i) if len(maps[i]) < len(maps[j]) else (i, j)
+        if shared_bound(maps[p], maps[q], spare[q]) < need:
+            continue
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
@@ -438,7 +460,7 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
             r, s = top(i), top(j)
             root[r] = s
             out.append((a, b, r != s, int(weight[i]), int(weight[j])))
-    del sets, bins
+    del sets, bins, maps
     common.give_back()
     return pd.DataFrame(out, columns=["a", "b", "forest", "na", "nb"]).astype({"a": "int64", "b": "int64", "forest": bool, "na": "int64", "nb": "int64"})
 
