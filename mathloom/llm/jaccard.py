@@ -15,11 +15,12 @@ few documents meet there. The steps:
    a count. The classes' prefix entries (shingle, class, size, position) meet on the shingle,
    and the shingles' lists at their smallest class, as similar documents meet in many shingles;
    length and positional filters leave few pairs, each kept once.
-4. Candidates are verified once, in blocks: classes are gathered around their smallest
-   neighbour, clusters are cut into parts of bounded size, and a block holds two parts, so a
-   text travels to as many blocks as its partners fill, not to each partner. A block drops
-   pairs by the suffix filter (the counts in ranges of the hash bound the overlap) and by the
-   common bits of two bitmaps, which bound it too, and compares the others exactly.
+4. Candidates are compared in blocks: classes are gathered around their smallest neighbour,
+   clusters are cut into parts of bounded size, and a block holds two parts, so a class travels
+   to as many blocks as its partners fill, not to each partner. First only bitmaps of the sets
+   travel, and pairs go whose common bits, which bound the overlap, are too few. Then the texts
+   of the others travel. A block drops pairs by the suffix filter (the counts in ranges of the
+   hash bound the overlap) and the bitmaps' bound, and compares the others exactly.
 5. Links give each class its number of linked documents; components come from alternating
    smallest-neighbour rounds on a spanning forest of each block.
 
@@ -465,8 +466,9 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "forest", "na", "nb"]).astype({"a": "int64", "b": "int64", "forest": bool, "na": "int64", "nb": "int64"})
 
 
-def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that hold, with the classes' numbers of documents; ``texts``: (node, text)."""
+def gathered(classes: DataFrame, pairs: DataFrame, carried: DataFrame) -> DataFrame:
+    """The blocks' rows: pairs (a, b), and with b = -1 the classes that a block needs, with the two
+    columns that ``carried`` has beside node."""
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
     near = ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")).join(classes.select("node", "n"), "node")
     sizes = near.groupBy("label").agg(F.sum("n").alias("all"))
@@ -476,9 +478,40 @@ def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     cells = cells.select("a", "b", F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2"))
     cells = settled(cells.withColumn("block", F.xxhash64("c1", "c2")).select("a", "b", "block"))
     need = cells.select(F.col("a").alias("node"), "block").unionAll(cells.select("b", "block")).distinct()
-    own = need.join(classes.select("node", "copies"), "node").join(texts, "node")
-    rows = own.select("block", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), "text", "copies").unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
-    return rows.groupBy("block").applyInPandas(verified, LINKS)
+    own = need.join(carried, "node")
+    blob, number = (c for c in carried.columns if c != "node")
+    return own.select("block", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), blob, number).unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
+
+
+def screened(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of a block that may hold by their bitmaps: rows with b = -1 are classes."""
+    maps, pairs = pdf[pdf["b"] < 0], pdf[pdf["b"] >= 0]
+    number = {int(s): i for i, s in enumerate(maps["a"])}
+    sizes = maps["n"].astype("int64").tolist()
+    maps = [np.frombuffer(m, np.uint64) for m in maps["map"]]
+    spare = [n - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, maps, strict=True)]
+    stays = np.zeros(len(pairs), bool)
+    for k, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):
+        i, j = number[a], number[b]
+        if len(maps[i]) < len(maps[j]):
+            i, j = j, i
+        stays[k] = shared_bound(maps[i], maps[j], spare[j]) >= -(-PERCENT * (sizes[i] + sizes[j]) // (100 + PERCENT))
+    out = pairs.loc[stays, ["a", "b"]].astype("int64")
+    del maps, pairs, pdf
+    common.give_back()
+    return out
+
+
+def likely(classes: DataFrame, pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs that may hold by the bitmaps ``maps`` (node, map, n), so that the texts of others
+    needn't travel."""
+    return gathered(classes, pairs, maps).groupBy("block").applyInPandas(screened, "a bigint, b bigint")
+
+
+def links(classes: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that hold, with the classes' numbers of documents; ``texts``: (node, text)."""
+    carried = classes.select("node", "copies").join(texts, "node").select("node", "text", "copies")
+    return gathered(classes, pairs, carried).groupBy("block").applyInPandas(verified, LINKS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -522,6 +555,7 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # numbers are by partition and row of the checkpoint, so they are the same whenever it is read
     classes = classes.withColumn("node", F.monotonically_increasing_id())
     pairs = settled(candidates(entries(classes)))
+    pairs = settled(likely(classes, pairs, class_maps(docs, classes, pairs)))
     texts = class_texts(docs, classes, pairs)
     found = settled(links(classes, pairs, texts))
     degree = found.select(F.col("a").alias("node"), F.col("nb").alias("n")).unionAll(found.select("b", "na")).groupBy("node").agg(F.sum("n").alias("linked"))
@@ -533,11 +567,34 @@ def joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known.drop("entries", "alone").join(told, "sig", "left"), found
 
 
+def with_candidates(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, sig, least_id) of the classes in pairs."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    return settled(classes.select("node", "sig", "least_id").join(wanted, "node", "left_semi"))
+
+
+def class_maps(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, map, n): bitmap and size of the set of each class that has a candidate. No text is
+    shuffled: rows are hashed where they are read, those of few classes after a filter by doc_id."""
+    chosen = with_candidates(classes, pairs)
+    if chosen.count() <= BROADCAST_CLASSES:
+        ids = F.broadcast(chosen.select("least_id").distinct())
+        docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["least_id"]), "left_semi")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = [h for t in batch.column(0).slice(at, 512) if len(h := shingles(t.as_py() or b""))]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([bitmap(h).tobytes() for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int64())], names=["sig", "map", "n"])
+
+    maps = common.map_arrow(docs.select(F.col("text").cast("binary").alias("text")), mapped, "sig binary, map binary, n bigint")
+    return maps.join(chosen.select("node", "sig"), "sig").groupBy("node").agg(F.max("map").alias("map"), F.max("n").alias("n"))
+
+
 def class_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, text): one text of each class that has a candidate. Texts are found by doc_id and
     hashed again, as a doc_id may stand for several rows."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    chosen = settled(classes.select("node", "sig", "least_id").join(wanted, "node", "left_semi"))
+    chosen = with_candidates(classes, pairs)
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CLASSES else chosen
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -467,3 +467,28 @@ def test_bitmaps_drop_chance_pairs_and_no_link():
     want = {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
     assert set(zip(found["a"], found["b"], strict=True)) == want == {(0, 12)}
     assert Counted.met == 1, Counted.met
+
+
+def test_texts_of_chance_pairs_stay(spark, monkeypatch):
+    rng = random.Random(11)
+    pieces = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(40)]
+    rows = [(i, " ".join(rng.sample(pieces, 10)), "en", "s") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " at the end", "en", "s") for i in range(4)]
+    was, met, told = (jaccard.candidates, jaccard.class_texts, jaccard.links), {}, []
+
+    def seen(name, f, at):
+        def run(*args):
+            out = f(*args)
+            met[name] = (out if at is None else args[at]).count()
+            told.append(name)
+            return out
+
+        return run
+
+    for name, f, at in (("candidates", was[0], None), ("class_texts", was[1], 2), ("links", was[2], 1)):
+        monkeypatch.setattr(jaccard, name, seen(name, f, at))
+    for few in (0, jaccard.BROADCAST_CLASSES):
+        monkeypatch.setattr(jaccard, "BROADCAST_CLASSES", few)
+        assert Counter(tuple(r) for r in jaccard.near_duplicates(documents(spark, rows)).collect()) == Counter(brute(rows)[0])
+        held = sum(r[2] for r in brute(rows)[0]) // 2
+        assert met["candidates"] > 100 > 20 > met["class_texts"] == met["links"] >= held >= 4
