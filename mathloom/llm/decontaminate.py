@@ -25,7 +25,8 @@ Which documents hold a benchmark item, word for word or changed in places?
 
 The driver holds the benchmark: its words as numbers, and ``RANK`` numbers of 8 bytes for each of
 its terms and passages; executors get these once as a broadcast. A worker holds one text at a
-time and 4 bytes for each of its words.
+time and 4 bytes for each of its words, beside about ``PIECE`` bytes of the texts before it
+(``FOR_TERM`` for each term, if that is more).
 
 Defined results: null and empty texts, and items without words, are never found; repeated
 documents are each reported; a document is reported once for each item, with its best cover
@@ -39,10 +40,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,27 +52,34 @@ from mathloom.llm import common
 from mathloom.llm.common import checkpointed
 
 PASSAGE, RANK, OVER = 48, 128, 16
-#: Occurrences of terms that are kept and summed together, at least.
-TOGETHER = 1 << 14
+#: Words of documents whose terms are kept and summed together, at least.
+TOGETHER = 1 << 15
+#: Passages that are summed together; a term with so many occurrences in them is a column of a dense matrix.
+SUMMED, COMMON = 1024, 24
 #: So many tasks' partial sums are added first.
 SUMS = 64
 COSINE, MASS = 0.52, 0.35
 EXACT, CLOSE, ANSWER_WORDS = 0.7, 0.5, 6
-#: Lengths of the windows in words; each moves by a quarter of its length.
+#: Lengths of the windows in words, multiples of the one before; each moves by a quarter of its length.
 WINDOWS = (12, 24, 48)
 #: Documents are searched together up to so many words.
 GROUP = 1 << 15
 #: Candidates that are checked together.
 CHECKED = 4096
-#: Texts are cut into words in pieces of about so many characters.
-PIECE = 1 << 20
+#: Texts are cut into words in pieces of about so many characters, and together up to so many bytes, or so many for each term.
+PIECE, FOR_TERM = 1 << 20, 16
 FOLD = bytes((c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32) for c in range(256))
 SENTENCE = re.compile(r"[.!?]\s")
 BLANK = re.compile(r"\s", re.A)
 
 
+def folded(text: str) -> bytes:
+    """Words in lower case between blanks."""
+    return text.lower().encode("utf-8", "replace").translate(FOLD)
+
+
 def words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(FOLD).split()
+    return folded(text).split()
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -84,10 +92,41 @@ def pieces(text: str) -> Iterator[str]:
         at = end
 
 
-def numbers_of(text: str, place: dict[bytes, int]) -> np.ndarray:
-    """The term number of each word of a whole text, -1 for words that are no terms."""
-    parts = [np.array(list(map(place.get, words(p), repeat(-1))), np.int32) for p in pieces(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.int32)])
+def numbers_of(texts: Iterator[str | None], terms: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text, in order, the term number of each of its words, -1 for words that are no
+    terms. Arrow cuts and looks up the words of many texts at once; as it makes a table of all
+    terms each time, their bytes grow with the terms."""
+    table = pa.array(terms, pa.binary())
+    most = max(PIECE, FOR_TERM * len(terms))
+    parts: list[bytes] = []
+    ends: list[int] = []  # of each text that is over, the number of parts so far
+    many = 0
+    begun: list[np.ndarray] = []  # of a text that is not over
+
+    def looked_up() -> Iterator[np.ndarray]:
+        cut = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).cast(pa.string(), safe=False))
+        found = pc.index_in(cut.flatten().cast(pa.binary()), value_set=table).fill_null(-1).to_numpy()
+        edge = cut.offsets.to_numpy()
+        first = 0
+        for end in ends:
+            begun.append(found[edge[first] : edge[end]])
+            yield begun[0] if len(begun) == 1 else np.concatenate(begun)
+            begun.clear()
+            first = end
+        if first < len(parts):
+            begun.append(found[edge[first] :])
+
+    for text in texts:
+        for piece in pieces(text or ""):
+            # Arrow makes an empty word before a blank at the start, and of an empty text
+            if part := folded(piece).strip():
+                parts.append(part)
+                many += len(part)
+            if many >= most:
+                yield from looked_up()
+                parts, ends, many = [], [], 0
+        ends.append(len(parts))
+    yield from looked_up()
 
 
 @dataclass
@@ -151,51 +190,46 @@ class Model:
     anchor: np.ndarray  # terms and, for other words, one more: whether it is in anchors
 
 
-def passage_ids(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term rows of a document's words, and the passage of each."""
-    at = np.flatnonzero(own >= 0)
-    return own[at], (at // PASSAGE).astype(np.int32)
-
-
 def numbered(documents: DataFrame, terms: list[bytes]) -> DataFrame:
     """All documents' occurrences of terms: (ids, sizes), term numbers in order of passages and
     how many each passage has; and a row of each partition with its (found), by term the passages
     that have it, then all its passages."""
-    place = documents.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+    shared = documents.sparkSession.sparkContext.broadcast(terms)
     n = len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(n + 1, np.int64)
         held: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        many = passages = 0
+        many = 0
 
         def row(ids: bytes | None, sizes: bytes | None, found: bytes | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids, sizes, found)], names=["ids", "sizes", "found"])
 
         def flushed() -> pa.RecordBatch:
-            ids, number = np.concatenate(held), np.concatenate(rows)
-            pairs = np.unique(number * n + ids) % n
-            found[:n] += np.bincount(pairs, minlength=n)
-            sizes = np.bincount(number - number[0])
-            return row(ids.astype(kind(n)).tobytes(), sizes[sizes > 0].astype(np.uint8).tobytes(), None)
-
-        for batch in batches:
-            for text in batch.column(0):
-                own = numbers_of(text.as_py() or "", place.value)
-                if len(own):
-                    ids, number = passage_ids(own)
-                    if len(ids):
-                        held.append(ids)
-                        rows.append(number.astype(np.int64) + passages)
-                        many += len(ids)
-                    passages += (len(own) - 1) // PASSAGE + 1
-                    if many >= TOGETHER:
-                        yield flushed()
-                        held, rows, many = [], [], 0
-        if held:
+            words = np.array([len(own) for own in held], np.int64)
+            passages = -(-words // PASSAGE)
+            found[n] += passages.sum()
+            own = np.concatenate(held)
+            at = np.flatnonzero(own >= 0)
+            # a document's words are counted from its start, and its passages from those before it
+            start, before = np.cumsum(words) - words, np.cumsum(passages) - passages
+            doc = np.repeat(np.arange(len(held)), words)[at]
+            number = (at - start[doc]) // PASSAGE + before[doc]
+            ids = own[at].astype(kind(n))
+            order = np.argsort(ids, kind="stable")
+            s, p = ids[order], number[order]
+            found[:n] += np.bincount(s[np.concatenate([[True], (s[1:] != s[:-1]) | (p[1:] != p[:-1])])[: len(s)]], minlength=n)
+            sizes = np.bincount(number)
+            return row(ids.tobytes(), sizes[sizes > 0].astype(np.uint8).tobytes(), None)
+
+        for own in numbers_of((text.as_py() for batch in batches for text in batch.column(0)), shared.value):
+            held.append(own)
+            many += len(own)
+            if many >= TOGETHER:
+                yield flushed()
+                held, many = [], 0
+        if many:
             yield flushed()
-        found[n] = passages
         yield row(None, None, found.tobytes())
 
     return checkpointed(common.map_arrow(documents.select("text"), run, "ids binary, sizes binary, found binary"))
@@ -223,30 +257,64 @@ def counted(numbers: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out[:n], int(out[n])
 
 
+def run_sums(cells: np.ndarray, rows: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each start and count, which is at least 1, the sum of as many of ``cells[rows]`` from
+    there on. (np.add.reduceat takes ten times as long for rows.)"""
+    order = np.argsort(-count, kind="stable")
+    first, left = start[order], count[order]
+    out = cells[rows[first]]
+    for j in range(1, int(left[0]) if len(left) else 0):
+        k = int(np.searchsorted(-left, -j))  # so many are longer than j
+        out[:k] += cells[rows[first[:k] + j]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The start and length of each run of equal values."""
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    return start, np.diff(start, append=len(values))
+
+
+def add_products(out: np.ndarray, scaled: np.ndarray, ids: np.ndarray, number: np.ndarray, passages: int) -> None:
+    """``out`` += C'(C scaled), with C the term counts of some passages: of ``ids``, each in passage
+    ``number``, which rises. Common terms go through dense products, others row by row."""
+    order = np.argsort(ids, kind="stable")
+    start, count = runs(ids[order])
+    term = ids[order][start].astype(np.int64)
+    often = count >= COMMON
+    width = int(often.sum())
+    column = np.full(len(term), -1)
+    column[often] = np.arange(width)
+    at = np.empty(len(ids), np.int64)  # by occurrence
+    at[order] = np.repeat(column, count)
+    dense = at >= 0
+    c = np.bincount(number[dense] * width + at[dense], minlength=passages * width).astype(np.float32).reshape(passages, width)
+    by_row = c @ scaled[term[often]]
+    rest, own = ids[~dense], number[~dense]
+    first, many = runs(own)
+    by_row[own[first]] += run_sums(scaled, rest, first, many)
+    out[term[often]] += c.T @ by_row
+    out[term[~often]] += run_sums(by_row, number[order], start[~often], count[~often])
+
+
 def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) over all passages, with A their weighted term counts. Each task's sum travels
     as blocks of rows; the blocks of SUMS tasks are added, then those sums, one at a time."""
-    shared = numbers.sparkSession.sparkContext.broadcast((weight.astype(np.float32), (weight[:, None] * basis).astype(np.float32)))
+    shared = numbers.sparkSession.sparkContext.broadcast((weight[:, None] * basis).astype(np.float32))
     shape = basis.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, scaled = shared.value
         out = np.zeros(shape, np.float64)
         for batch in batches:
             for blob, sizes in zip(*batch.columns, strict=True):
-                every = np.frombuffer(blob.as_py(), kind(shape[0])).astype(np.int64)
-                edge = np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_py(), np.uint8), dtype=np.int64)])
-                step = 512  # passages
-                for at in range(0, len(edge) - 1, step):
-                    cut = edge[at : at + step + 1]
-                    ids = every[cut[0] : cut[-1]]
-                    by_row = np.add.reduceat(scaled[ids], cut[:-1] - cut[0], axis=0)
-                    # out[term] += weight[term] * by_row[its passage], over all occurrences
-                    order = np.argsort(ids, kind="stable")
-                    number = np.repeat(np.arange(len(cut) - 1), np.diff(cut))[order]
-                    s = ids[order]
-                    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                    out[s[starts]] += weight[s[starts], None] * np.add.reduceat(by_row[number], starts, axis=0)
+                ids = np.frombuffer(blob.as_py(), kind(shape[0]))
+                size = np.frombuffer(sizes.as_py(), np.uint8).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(size)])
+                for at in range(0, len(size), SUMMED):
+                    part = size[at : at + SUMMED]
+                    add_products(out, shared.value, ids[edge[at] : edge[at + len(part)]], np.repeat(np.arange(len(part)), part), len(part))
         group = TaskContext.get().partitionId() // SUMS
         blocks = np.array_split(np.arange(shape[0]), blocks_n)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks_n), pa.int32()), pa.array([group] * blocks_n, pa.int32()), pa.array([out[b].tobytes() for b in blocks], pa.binary())], names=["block", "group", "cells"])
@@ -274,7 +342,7 @@ def summed(numbers: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndar
     whole: dict[int, np.ndarray] = {}
     for r in rows:
         whole[r.block] = whole.get(r.block, 0) + np.frombuffer(r.cells, np.float64)
-    return np.concatenate([whole[k] for k in sorted(whole)]).reshape(shape) if whole else np.zeros(shape)
+    return np.concatenate([whole[k] for k in sorted(whole)]).reshape(shape) * weight[:, None] if whole else np.zeros(shape)
 
 
 class Passages:
@@ -387,32 +455,43 @@ def candidates(docs: list[np.ndarray], model: Model) -> np.ndarray:
     """Rows (document, target, start, cosine) of the windows that may hold a target, in order."""
     sizes = np.array([len(d) for d in docs], np.int64)
     found = [np.zeros((0, 4))]
-    for width, passages, owner, least in model.kinds:
-        lap = width // 4
-        # each document is filled up to whole steps, and three more
-        blocks = -(-sizes // lap) + 3
-        begin = np.cumsum(blocks) - blocks
-        flat = np.full(int(blocks.sum()) * lap, -1, np.int32)
-        for d, at in zip(docs, begin.tolist(), strict=True):
-            flat[at * lap : at * lap + len(d)] = d
+    laps = [width // 4 for width, *_ in model.kinds]
+    short, long = min(laps), max(laps)
+    # each document is filled up to whole steps, and three more
+    steps = -(-sizes // long) + 3
+    begin = (np.cumsum(steps) - steps) * long
+    flat = np.full(int(steps.sum()) * long, -1, np.int32)
+    for d, at in zip(docs, begin.tolist(), strict=True):
+        flat[at : at + len(d)] = d
+    weighed = model.weight[flat].reshape(-1, short).sum(axis=1)
+    windows = []
+    for lap, (width, _, _, least) in zip(laps, model.kinds, strict=True):
         many = np.where(sizes > 0, -(-np.maximum(sizes - width // 2, 1) // lap), 0)
         doc = np.repeat(np.arange(len(docs)), many)
         number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-        window = begin[doc] + number
-        mass = model.weight[flat].reshape(-1, lap).sum(axis=1)
+        window = begin[doc] // lap + number
+        mass = weighed.reshape(-1, lap // short).sum(axis=1)
         full = (mass[:-3] + mass[1:-2] + mass[2:-1] + mass[3:])[window] >= MASS * least
-        doc, number, window = doc[full], number[full], window[full]
-        step = GROUP // lap
-        for at in range(0, len(blocks) and int(blocks.sum()), step):
-            a, b = np.searchsorted(window, (at, at + step))
+        windows.append((doc[full], number[full], window[full]))
+    step = GROUP // long
+    for at in range(0, int(steps.sum()), step):
+        some = [np.searchsorted(window, (at * (long // lap), (at + step) * (long // lap))) for lap, (_, _, window) in zip(laps, windows, strict=True)]
+        if all(a == b for a, b in some):
+            continue
+        part = flat[at * long : (at + step + 3) * long].reshape(-1, short)
+        blocks = model.vectors[part[:, 0]]
+        for j in range(1, short):
+            blocks += model.vectors[part[:, j]]
+        for lap, (_, passages, owner, _), (doc, number, window), (a, b) in zip(laps, model.kinds, windows, some, strict=True):
             if a == b:
                 continue
-            block = model.vectors[flat[at * lap : (at + step + 3) * lap]].reshape(-1, lap, model.vectors.shape[1]).sum(axis=1)
-            x = (block[:-3] + block[1:-2] + block[2:-1] + block[3:])[window[a:b] - at]
+            block = blocks if lap == short else blocks.reshape(-1, lap // short, blocks.shape[1]).sum(axis=1)
+            two = block[:-1] + block[1:]
+            x = (two[:-2] + two[2:])[window[a:b] - at * (long // lap)]
             like = x @ passages.T
-            like /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-6)[:, None]
-            w, p = np.nonzero(like >= COSINE)
-            found.append(np.stack([doc[a:b][w], owner[p], number[a:b][w] * lap, like[w, p]], axis=1))
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-6))
+            w, p = np.divmod(np.flatnonzero(like >= np.float32(COSINE) * norm[:, None]), len(owner))
+            found.append(np.stack([doc[a:b][w], owner[p], number[a:b][w] * lap, like[w, p] / norm[w]], axis=1))
     rows = np.concatenate(found)
     rows = rows[np.lexsort((-rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
     # a window may be like several passages of an item
@@ -502,9 +581,9 @@ def searched(texts: Iterator[str | None], model: Model) -> Iterator[dict[int, He
     """What each text holds, in order; texts are searched together up to GROUP words."""
     held: list[np.ndarray] = []
     words = 0
-    for text in texts:
-        held.append(numbers_of(text or "", model.place))
-        words += len(held[-1])
+    for own in numbers_of(texts, list(model.place)):
+        held.append(own)
+        words += len(own)
         if words >= GROUP:
             yield from found_in(held, model)
             held, words = [], 0

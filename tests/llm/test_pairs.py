@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -365,6 +367,68 @@ def test_place_in_long_texts(spark):
             decontaminate.PIECE = was
 
 
+def test_products_cost_little_more_than_their_rows(spark, monkeypatch):
+    """op9: a task's sum over its passages, against numpy's time to read a row for each occurrence."""
+    rng = np.random.default_rng(14)
+    names = [f"t{i}" for i in range(4000)] + ["other"] * 4000
+    texts = [" ".join(names[int(i) - 1] for i in 8000 ** rng.random(500)) for _ in range(400)] + ["", None, "other", "t5"]
+    numbers = decontaminate.numbered(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).coalesce(1), [x.encode() for x in names[:4000]])
+    weight, basis = rng.random(4000) + 0.1, rng.standard_normal((4000, 144))
+    made, was = [], common.map_arrow
+    monkeypatch.setattr(common, "map_arrow", lambda df, run, schema: made.append(run) or was(df, run, schema))
+    got = decontaminate.summed(numbers, weight, basis)
+    place = {x: i for i, x in enumerate(names[:4000])}
+    want, occurrences = np.zeros(basis.shape), []
+    for t in texts:
+        w = (t or "").split()
+        for at in range(0, len(w), decontaminate.PASSAGE):
+            ids = np.array([place[x] for x in w[at : at + decontaminate.PASSAGE] if x in place], int)
+            np.add.at(want, ids, weight[ids, None] * (weight[ids, None] * basis[ids]).sum(axis=0))
+            occurrences.append(ids)
+    assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
+
+    def least(f):
+        times = []
+        for _ in range(5):
+            began = time.thread_time()
+            f()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    monkeypatch.setattr(decontaminate, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batches = numbers.filter("ids is not null").select("ids", "sizes").toArrow().to_batches()
+    cells, ids = basis.astype(np.float32), np.concatenate(occurrences)
+    read = least(lambda: [cells[ids[at : at + 10_000]] for at in range(0, len(ids), 10_000)])
+    assert least(lambda: list(made[0](iter(batches)))) < 3 * read
+
+
+@pytest.mark.parametrize("common_at", [1, 3, 10**9])
+def test_products_of_passages(common_at, monkeypatch):
+    monkeypatch.setattr(decontaminate, "COMMON", common_at)
+    rng = np.random.default_rng(15)
+    for passages in (0, 1, 2, 60):
+        size = rng.integers(1, 9, passages)
+        ids, number = (20 * rng.random(size.sum()) ** 3).astype(np.uint16), np.repeat(np.arange(passages), size)
+        c = np.zeros((passages, 22))
+        np.add.at(c, (number, ids), 1)
+        scaled = rng.standard_normal((22, 5)).astype(np.float32)
+        out = np.ones((22, 5))
+        decontaminate.add_products(out, scaled, ids, number, passages)
+        assert np.allclose(out, 1 + c.T @ (c @ scaled), atol=1e-3)
+
+
+def test_numbers_of_words(monkeypatch):
+    terms = [b"aa", b"b", "é".encode(), "ß9".encode()]
+    texts = ["", None, "  ", "aa", " AA\tb. ", "É,ß9\u2028b  -  É", "?", "x" * 90 + " b", "aa " * 50, "no\nterm", ""]
+    want = [[terms.index(w) if w in terms else -1 for w in decontaminate.words(t or "")] for t in texts]
+    for cut, each in ((1 << 20, 16), (1, 0), (7, 0), (30, 0), (30, 16)):
+        monkeypatch.setattr(decontaminate, "PIECE", cut)
+        monkeypatch.setattr(decontaminate, "FOR_TERM", each)
+        assert [own.tolist() for own in decontaminate.numbers_of(iter(texts), terms)] == want
+        assert list(decontaminate.numbers_of(iter([]), terms)) == []
+        assert [own.tolist() for own in decontaminate.numbers_of(iter([None, ""]), terms)] == [[], []]
+
+
 def shuffled(spark):
     """Bytes of shuffle files on disk."""
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
