@@ -96,6 +96,12 @@ def test_html():
     assert page_text("<div id=q><p>in</p></div><p>out</p>", only="q") == "\n\nin\n"
 
 
+def test_html_references_end_with_a_semicolon():
+    """As in the SQL of html_text: others, and unknown ones, stand as they are; a hard blank is text."""
+    page = "<h1>a &amp;&amp</h1><p>x &copy y &copy; &notit; &lt;b&gt; &#39;&#39 & &amp;lt;</p><p>&nbsp;</p><p> \t</p>"
+    assert page_text(page) == "a &&amp\n\nx &copy y \xa9 &notit; <b> '&#39 & &lt;\n\xa0\n"
+
+
 def test_tables_resolve_conflicts():
     rules = [("e", ("e", "+", "e"), "", None), ("e", ("e", "*", "e"), "", None), ("e", ("n",), "", None)]
     t = Tables(rules, [("left", "+"), ("right", "*")])
