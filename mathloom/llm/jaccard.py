@@ -17,10 +17,11 @@ few documents meet there. The steps:
    length and positional filters leave few pairs, each kept once.
 4. Candidates are compared in blocks: classes are gathered around their smallest neighbour,
    clusters are cut into parts of bounded size, and a block holds two parts, so a class travels
-   to as many blocks as its partners fill, not to each partner. First only bitmaps of the sets
+   to as many blocks as its partners fill, not to each partner. Small blocks are put together,
+   as each costs a call. First only bitmaps of the sets
    travel, and pairs go whose common bits, which bound the overlap, are too few. Then the texts
-   of the others travel. A block drops pairs by the suffix filter (the counts in ranges of the
-   hash bound the overlap) and the bitmaps' bound, and compares the others exactly.
+   of the others travel, and a block compares them exactly. Bounds are computed for all
+   pairs of a block together.
 5. Links give each class its number of linked documents; components come from alternating
    smallest-neighbour rounds on a spanning forest of each block.
 
@@ -398,11 +399,6 @@ def candidates(found: DataFrame) -> DataFrame:
     return meetings(found).distinct()
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Suffix filter: the sum, over 16 ranges of the hash, of the smaller count."""
-    return int(np.minimum(np.diff(a), np.diff(b)).sum())
-
-
 def bitmap(h: np.ndarray) -> np.ndarray:
     """The low ends of a set's hashes as bits, of which there are 4 to 8 for each."""
     bits = np.zeros(1 << max(6, (4 * len(h) - 1).bit_length()), bool)
@@ -420,20 +416,61 @@ def shared_bound(x: np.ndarray, y: np.ndarray, spare: int) -> int:
     return int(np.bitwise_count(x & y).sum()) + spare
 
 
-RANGES = np.arange(16, dtype=np.uint64) << np.uint64(60)
 LINKS = "a bigint, b bigint, forest boolean, na bigint, nb bigint"
 
 
+def places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where in ``ids``, which are distinct, the wanted ones stand."""
+    order = np.argsort(ids)
+    return order[np.searchsorted(ids, wanted, sorter=order)]
+
+
+def shared_bounds(maps: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``shared_bound`` of the pairs (i, j) of the bitmaps of sets of these sizes; pairs of bitmaps
+    of like lengths together."""
+    lengths = np.array([len(m) for m in maps], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.concatenate(maps)
+    spare = sizes - np.add.reduceat(np.bitwise_count(flat), starts, dtype=np.int64)
+    short = lengths[i] < lengths[j]
+    p, q = np.where(short, j, i), np.where(short, i, j)
+    out = spare[q]
+    for long, brief in sorted(set(zip(lengths[p].tolist(), lengths[q].tolist(), strict=True))):
+        alike = np.flatnonzero((lengths[p] == long) & (lengths[q] == brief))
+        step = max(1, BLOCK // long)
+        for at in range(0, len(alike), step):
+            rows = alike[at : at + step]
+            x = flat[starts[p[rows]][:, None] + np.arange(long)].reshape(len(rows), long // brief, brief)
+            x = np.bitwise_or.reduce(x, axis=1) & flat[starts[q[rows]][:, None] + np.arange(brief)]
+            out[rows] += np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The overlap that sets of these sizes need: ceil(t / (1 + t) * (na + nb))."""
+    return -(-PERCENT * (na + nb) // (100 + PERCENT))
+
+
 def verified(pdf: pd.DataFrame) -> pd.DataFrame:
     """A block: rows with b = -1 are classes with their text, the others are candidate pairs."""
-    texts = pdf[pdf["b"] < 0]
-    pairs = pdf[pdf["b"] >= 0]
-    number = {int(s): i for i, s in enumerate(texts["a"])}
+    b = pdf["b"].to_numpy(np.int64)
+    texts, pairs = pdf[b < 0], pdf[b >= 0]
+    ids, weight = texts["a"].to_numpy(np.int64), texts["copies"].to_numpy(np.int64)
+    a, b = pairs["a"].to_numpy(np.int64), pairs["b"].to_numpy(np.int64)
+    i, j = places(ids, a), places(ids, b)
     sets = [shingles(bytes(t)) for t in texts["text"]]
-    weight = texts["copies"].to_numpy()
-    bins = [np.append(np.searchsorted(s, RANGES), len(s)) for s in sets]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    need = needed(sizes[i], sizes[j])
     maps = [bitmap(s) for s in sets]
-    spare = [len(s) - int(np.bitwise_count(m).sum()) for s, m in zip(sets, maps, strict=True)]
+    holds = shared_bounds(maps, sizes, i, j) >= need
+    for k in np.flatnonzero(holds).tolist():
+        x, y = sets[i[k]], sets[j[k]]
+        if len(x) > len(y):
+            x, y = y, x
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        holds[k] = np.count_nonzero(y[at] == x) >= need[k]
+    a, b, i, j = a[holds], b[holds], i[holds], j[holds]
     root = list(range(len(sets)))
 
     def top(x: int) -> int:
@@ -442,62 +479,49 @@ def verified(pdf: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    out = []
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        a, b = int(a), int(b)
-        i, j = number[a], number[b]
-        x, y = sets[i], sets[j]
-        need = -(-PERCENT * (len(x) + len(y)) // (100 + PERCENT))
-        if overlap_bound(bins[i], bins[j]) < need:
-            continue
-        p, q = (j, i) if len(maps[i]) < len(maps[j]) else (i, j)
-        if shared_bound(maps[p], maps[q], spare[q]) < need:
-            continue
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        if np.count_nonzero(y[at] == x) >= need:
-            r, s = top(i), top(j)
-            root[r] = s
-            out.append((a, b, r != s, int(weight[i]), int(weight[j])))
-    del sets, bins, maps
+    forest = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        r, s = top(x), top(y)
+        root[r] = s
+        forest[k] = r != s
+    del sets, maps, texts, pairs, pdf
     common.give_back()
-    return pd.DataFrame(out, columns=["a", "b", "forest", "na", "nb"]).astype({"a": "int64", "b": "int64", "forest": bool, "na": "int64", "nb": "int64"})
+    return pd.DataFrame({"a": a, "b": b, "forest": forest, "na": weight[i], "nb": weight[j]})
 
 
 def gathered(classes: DataFrame, pairs: DataFrame, carried: DataFrame) -> DataFrame:
     """The blocks' rows: pairs (a, b), and with b = -1 the classes that a block needs, with the two
-    columns that ``carried`` has beside node."""
+    columns that ``carried`` has beside node. Most pairs of chance would be a block of their own,
+    so blocks are put together, by hash, until they hold about two parts."""
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(pairs.select("b", "a"))
     near = ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")).join(classes.select("node", "n"), "node")
     sizes = near.groupBy("label").agg(F.sum("n").alias("all"))
     part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("all") / PART))).cast("int")
-    placed = settled(near.join(sizes, "label").select("node", F.struct("label", part.alias("part")).alias("cell")))
-    cells = pairs.join(placed.select(F.col("node").alias("a"), F.col("cell").alias("ca")), "a").join(placed.select(F.col("node").alias("b"), F.col("cell").alias("cb")), "b")
-    cells = cells.select("a", "b", F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2"))
-    cells = settled(cells.withColumn("block", F.xxhash64("c1", "c2")).select("a", "b", "block"))
+    placed = settled(near.join(sizes, "label").select("node", "n", F.struct("label", part.alias("part")).alias("cell")))
+    of = lambda e: placed.select(F.col("node").alias(e), F.col("cell").alias(f"c{e}"), F.col("n").alias(f"n{e}"))
+    cells = pairs.join(of("a"), "a").join(of("b"), "b")
+    cells = settled(cells.select("a", "b", "na", "nb", F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("block")))
+    held = cells.select(F.col("a").alias("node"), "block", F.col("na").alias("n")).unionAll(cells.select("b", "block", "nb")).distinct().agg(F.sum("n")).first()[0] or 0
+    many = max(1, -(-held // (2 * PART)))
+    cells = cells.select("a", "b", F.pmod("block", F.lit(many)).alias("block"))
     need = cells.select(F.col("a").alias("node"), "block").unionAll(cells.select("b", "block")).distinct()
     own = need.join(carried, "node")
     blob, number = (c for c in carried.columns if c != "node")
-    return own.select("block", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), blob, number).unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
+    rows = own.select("block", F.col("node").alias("a"), F.lit(-1).cast("bigint").alias("b"), blob, number).unionAll(cells.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(0).cast("bigint")))
+    # few bytes may be much work, so the number of tasks follows the blocks
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // 64)
+    return rows.repartition(min(many, tasks), "block")
 
 
 def screened(pdf: pd.DataFrame) -> pd.DataFrame:
     """The pairs of a block that may hold by their bitmaps: rows with b = -1 are classes."""
-    maps, pairs = pdf[pdf["b"] < 0], pdf[pdf["b"] >= 0]
-    number = {int(s): i for i, s in enumerate(maps["a"])}
-    sizes = maps["n"].astype("int64").tolist()
-    maps = [np.frombuffer(m, np.uint64) for m in maps["map"]]
-    spare = [n - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, maps, strict=True)]
-    stays = np.zeros(len(pairs), bool)
-    for k, (a, b) in enumerate(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):
-        i, j = number[a], number[b]
-        if len(maps[i]) < len(maps[j]):
-            i, j = j, i
-        stays[k] = shared_bound(maps[i], maps[j], spare[j]) >= -(-PERCENT * (sizes[i] + sizes[j]) // (100 + PERCENT))
-    out = pairs.loc[stays, ["a", "b"]].astype("int64")
-    del maps, pairs, pdf
+    b = pdf["b"].to_numpy(np.int64)
+    maps, pairs = pdf[b < 0], pdf[b >= 0]
+    ids, sizes = maps["a"].to_numpy(np.int64), maps["n"].to_numpy(np.int64)
+    bits = [np.frombuffer(m, np.uint64) for m in maps["map"]]
+    i, j = places(ids, pairs["a"].to_numpy(np.int64)), places(ids, pairs["b"].to_numpy(np.int64))
+    out = pairs.loc[shared_bounds(bits, sizes, i, j) >= needed(sizes[i], sizes[j]), ["a", "b"]].astype("int64")
+    del maps, bits, pairs, pdf
     common.give_back()
     return out
 
